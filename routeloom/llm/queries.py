@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, maxscore, packing, quality, simhash, token_counts
+from . import bpe, exact_dedup, language_id, maxscore, packing, quality, sanitise, simhash, token_counts
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(sanitise.spans(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(_fold(4) != 2), PIECES)
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_sanitise": op6_sanitise,
     "op7_language_id": op7_language_id,
     "op8_maxscore": op8_maxscore,
     "op9_byte_bpe": op9_byte_bpe,
