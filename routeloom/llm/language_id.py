@@ -241,6 +241,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     the language first in the alphabet. Repeated rows and null ids are returned like any other. An empty table gives an
     empty result. Other columns are ignored.
     """
+    return keyed_texts(docs, id_col, text_col).mapInArrow(_predict(model, 0, 1, ["doc_id", "lang_pred", "score"]), "doc_id bigint, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, whose language is recognised: not `und`, and with a score of at least least_score.
+
+    The rows pass through the prediction, so no join or shuffle is needed.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = rows.mapInArrow(_predict(model, 0, 1, ["row", "lang_pred", "score"]), f"row {docs.schema.simpleString()}, lang_pred string, score double")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+
+
+def _predict(model: Model, kept: int, text: int, names: list[str]):
+    """A task's rows: the kept column, the prediction and its score."""
 
     def run(batches):
         scorer = Scorer.of(model)
@@ -253,13 +268,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         def all_of(batch):
             part, size = [], 0
-            for value in batch.column(1):
-                text = value.as_py()
-                if part and size + len(text) > TEXT_CHARS:
+            for value in batch.column(text):
+                t = value.as_py()
+                if part and size + len(t) > TEXT_CHARS:
                     yield work(part)
                     part, size = [], 0
-                part.append(text)
-                size += len(text)
+                part.append(t)
+                size += len(t)
             if part:
                 yield work(part)
 
@@ -275,7 +290,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 sums = sums + model.prior
                 best = sums.argmax(axis=1)
                 score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            names = np.array([*model.languages, UNDETERMINED], object)[np.where(n > 0, best, len(model.languages))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(n > 0, score, 0.0))], ["doc_id", "lang_pred", "score"])
+            languages = np.array([*model.languages, UNDETERMINED], object)[np.where(n > 0, best, len(model.languages))]
+            yield pa.RecordBatch.from_arrays([batch.column(kept), pa.array(languages, pa.string()), pa.array(np.where(n > 0, score, 0.0))], names)
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return run
