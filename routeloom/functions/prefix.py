@@ -7,8 +7,9 @@ import socket
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PREFIX_TYPE = "family int, len int, hi bigint, lo bigint"
+PREFIX_TYPE = T.StructType([T.StructField("family", T.IntegerType()), T.StructField("len", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
 
 
 def _mask64(x: Column, bits: Column) -> Column:
@@ -98,12 +99,12 @@ def parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["family", "len", "hi", "lo"]).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format(family: pd.Series, length: pd.Series, hi: pd.Series, lo: pd.Series) -> pd.Series:  # noqa: A001
     return pd.Series([format_text(*p) for p in zip(family, length, hi, lo)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_address(texts: pd.Series) -> pd.Series:
     """The address in its canonical form, or null."""
     out = []

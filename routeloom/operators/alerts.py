@@ -43,6 +43,17 @@ def _alert(rows: DataFrame, detector: str, severity: Column, expected: Column, o
 def candidates(events: DataFrame, vrps: DataFrame | None, watchlist: DataFrame, settings: Settings) -> DataFrame:
     """What the detectors find before cooldown, one row for each event and detector."""
     known = base.baselines(events, watchlist, settings.baseline_window, settings.learn_watched)
+    rate = (settings.spike_window, settings.spike_factor, settings.spike_min)
+    slim = spike_input(events)
+    return found_by(events, vrps, known, settings, spikes(slim, list(PREFIX), *rate), spikes(slim, ["peer"], *rate))
+
+
+def spike_input(events: DataFrame) -> DataFrame:
+    return events.select("seq", "ts", *PREFIX, "path", "kind", "peer", "peer_asn", "source")
+
+
+def found_by(events: DataFrame, vrps: DataFrame | None, known: DataFrame, settings: Settings, by_prefix: DataFrame, by_peer: DataFrame) -> DataFrame:
+    """The candidates of all detectors, given the baselines after these events and the spikes."""
     hijack = _alert(base.hijacks(events, known), "hijack", F.col("severity"), F.col("expected_asn"), F.col("observed_asn"))
     sub = base.subprefixes(events, known)
     subprefix = _alert(sub, "subprefix", F.col("severity"), F.col("expected_asn"), F.col("observed_asn"), cover_len=F.col("cover_len"))
@@ -53,9 +64,6 @@ def candidates(events: DataFrame, vrps: DataFrame | None, watchlist: DataFrame,
         ann = base.announces(events)
         invalid = validate(ann, vrps).where("rov = 'invalid'").select("seq")
         out = out.union(_alert(ann.join(invalid, "seq"), "rpki_invalid", warning, zero, F.col("origin")))
-    rate = (settings.spike_window, settings.spike_factor, settings.spike_min)
-    slim = events.select("seq", "ts", *PREFIX, "path", "kind", "peer", "peer_asn", "source")
-    by_prefix, by_peer = spikes(slim, list(PREFIX), *rate), spikes(slim, ["peer"], *rate)
     count = {"window_count": F.col("window_count")}
     out = out.union(_alert(by_prefix, "spike_prefix", info, zero, event_origin(F.col("kind"), F.col("path")), **count))
     return out.union(_alert(by_peer, "spike_peer", info, zero, F.col("peer_asn"), prefix=False, **count))

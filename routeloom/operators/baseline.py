@@ -24,14 +24,16 @@ def _seed(watchlist: DataFrame) -> DataFrame:
     return watchlist.groupBy(*PREFIX).agg(F.max_by("origin", order).alias("watch_origin"))
 
 
-def baselines(events: DataFrame, watchlist: DataFrame, window: float, learn_watched: bool = False) -> DataFrame:
+def baselines(events: DataFrame, watchlist: DataFrame, window: float, learn_watched: bool = False, prior: DataFrame | None = None) -> DataFrame:
     """One row for each prefix announced or watched: first_ts, lock_seq (null: not locked), origins (in the order learned, at most 4), learned_seq of each, watched.
 
     The first announcement starts a prefix's window; those within it teach their origins; the first one after it locks the
     prefix and teaches nothing. A watched prefix with an origin is locked from the start with that origin alone (lock_seq
     -1). One without an origin has its window begin at time 0, so that its first announcement locks it without origins;
-    with learn_watched its window begins at its first announcement.
+    with learn_watched its window begins at its first announcement. With prior, an earlier result, events go on from there.
     """
+    if prior is not None:
+        return _continued(events, prior, window)
     ann = announces(events).select(*PREFIX, "seq", "ts", "origin")
     seed = _seed(watchlist)
     first = ann.groupBy(*PREFIX).agg(F.min_by("ts", "seq").alias("first_ts"))
@@ -64,6 +66,29 @@ def baselines(events: DataFrame, watchlist: DataFrame, window: float, learn_watc
     return out.union(seeded).union(unseen)
 
 
+def _continued(events: DataFrame, prior: DataFrame, window: float) -> DataFrame:
+    """The baselines after later events: prefixes that are locked stay, others learn on."""
+    fresh_rows = announces(events).select(*PREFIX, "seq", "ts", "origin")
+    first = fresh_rows.groupBy(*PREFIX).agg(F.min_by("ts", "seq").alias("new_ts"))
+    # a watched prefix without an origin that has been seen in no event yet has its window's beginning already
+    state = first.join(prior, list(PREFIX), "left").where("lock_seq is null").select(
+        *PREFIX, F.coalesce("first_ts", "new_ts").alias("first_ts"), F.coalesce("watched", F.lit(False)).alias("watched"), "origins", "learned_seqs"
+    )
+    timed = fresh_rows.join(state.select(*PREFIX, "first_ts"), list(PREFIX))
+    lock = timed.groupBy(*PREFIX).agg(F.min(F.when(F.col("ts") - F.col("first_ts") > window, F.col("seq"))).alias("lock_seq"))
+    before = state.select(*PREFIX, F.explode(F.arrays_zip("origins", "learned_seqs")).alias("o")).select(*PREFIX, F.col("o.origins").alias("origin"), F.col("o.learned_seqs").alias("seq"))
+    learned = timed.select(*PREFIX, "origin", "seq").union(before).groupBy(*PREFIX, "origin").agg(F.min("seq").alias("learned_seq"))
+    learned = learned.join(lock, list(PREFIX)).where("lock_seq is null or learned_seq < lock_seq")
+    ranked = learned.withColumn("r", F.row_number().over(Window.partitionBy(*PREFIX).orderBy("learned_seq"))).where(F.col("r") <= MAX_BASELINE_ORIGINS)
+    taught = ranked.groupBy(*PREFIX).agg(F.array_sort(F.collect_list(F.struct("learned_seq", "origin"))).alias("l"))
+    none = F.array().cast("array<bigint>")
+    moved = state.select(*PREFIX, "first_ts", "watched").join(lock, list(PREFIX)).join(taught, list(PREFIX), "left").select(
+        *PREFIX, "first_ts", "lock_seq", F.coalesce(F.transform("l", lambda x: x["origin"]), none).alias("origins"),
+        F.coalesce(F.transform("l", lambda x: x["learned_seq"]), none).alias("learned_seqs"), "watched",
+    )
+    return moved.union(prior.join(moved.select(*PREFIX), list(PREFIX), "left_anti").select(*moved.columns))
+
+
 def _severity() -> Column:
     return F.when(F.col("watched"), "critical").otherwise("warning")
 

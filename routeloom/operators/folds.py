@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import COOLDOWN_SECONDS
 
@@ -104,3 +105,68 @@ def cooled(candidates: DataFrame, key: list[str], seconds: float = COOLDOWN_SECO
         return lambda row: int(state.passes(row["ts"], seconds))
 
     return streaming_fold(candidates, key, ["seq", "ord"], fold, value="emitted")
+
+
+STATE = "state array<double>"
+
+
+def continued_fold(rows: DataFrame, prior: DataFrame | None, key: list[str], order: list[str], restore: Callable, step: Callable, save: Callable, value: str) -> tuple[DataFrame, DataFrame]:
+    """A fold that goes on from the states of an earlier one: (rows with values that aren't null, states of all keys).
+
+    restore(state or None, row) makes an object, step(object, row) gives a value, save(object) a list of numbers. The
+    result is computed once for both parts; the caller keeps it.
+    """
+    columns = rows.columns
+    first = rows.withColumn("_rank", F.lit(1)).withColumn("state", F.lit(None).cast("array<double>"))
+    if prior is not None:
+        first = first.unionByName(prior.select(*key, "state").withColumn("_rank", F.lit(0)), allowMissingColumns=True)
+    kept = first.withColumn(value, F.lit(None).cast("bigint"))
+    arrow = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(kept.schema)])
+
+    def run(batches):
+        at, state = None, None
+
+        def saved(k, s):
+            return dict(zip(key, k)) | {"_rank": 0, "state": save(s)}
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                k = tuple(row[c] for c in key)
+                if k != at:
+                    if state is not None:
+                        out.append(saved(at, state))
+                    at, state = k, None
+                if row["_rank"] == 0:
+                    state = restore(row["state"], None)
+                    continue
+                if state is None:
+                    state = restore(None, row)
+                if (v := step(state, row)) is not None:
+                    out.append(row | {value: v})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([saved(at, state)], schema=arrow)
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = first.repartition(spread, *key).sortWithinPartitions(*key, "_rank", *order).mapInArrow(run, kept.schema)
+    return both.where("_rank = 1").select(*columns, value), both.where("_rank = 0").select(*key, "state")
+
+
+def continued_spikes(events: DataFrame, prior: DataFrame | None, key: list[str], window: float, factor: float, least: int) -> tuple[DataFrame, DataFrame]:
+    window, least = window if window > 0 else 60.0, least if least > 0 else 20
+
+    def restore(saved, row):
+        if saved is None:
+            return Spike(row["ts"])
+        first, start, current, previous, total = saved
+        return Spike(first, start, int(current), int(previous), int(total))
+
+    def save(s):
+        return [s.first, s.start, float(s.current), float(s.previous), float(s.total)]
+
+    return continued_fold(events, prior, key, ["seq"], restore, lambda s, row: s.add(row["ts"], window, factor, least), save, "window_count")
+
+
+def continued_cooldown(candidates: DataFrame, prior: DataFrame | None, key: list[str], seconds: float) -> tuple[DataFrame, DataFrame]:
+    return continued_fold(candidates, prior, key, ["seq", "ord"], lambda saved, _: Cooldown(saved[0] if saved else 0.0), lambda s, row: int(s.passes(row["ts"], seconds)), lambda s: [s.last], "emitted")

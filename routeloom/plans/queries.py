@@ -22,7 +22,9 @@ RELATIONS = relationship_rows(fixture.PROVIDERS, fixture.PEERS)
 SETTINGS = alerts.Settings(WINDOW, *SPIKE, relationships=RELATIONS)
 WATCHED = [("10.1.0.0/16", 65001), ("10.2.16.0/20", 65002), ("10.3.0.0/16", 0)]
 
-NET = v4_net(F.col("hi")).alias("net")
+
+def _net() -> Column:
+    return v4_net(F.col("hi")).alias("net")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +45,12 @@ def _joined(numbers: Column) -> Column:
 
 def rov_state(spark, d):
     ann = _announces(spark, d)
-    return ann.join(validate(ann, fixture.vrps(spark)), "seq").select("seq", "len", NET, "origin", "rov")
+    return ann.join(validate(ann, fixture.vrps(spark)), "seq").select("seq", "len", _net(), "origin", "rov")
 
 
 def rpki_invalid(spark, d):
     ann = _announces(spark, d)
-    return validate(ann, fixture.vrps(spark)).where("rov = 'invalid'").join(ann, "seq").select("seq", "len", NET, F.col("origin").alias("observed_asn"))
+    return validate(ann, fixture.vrps(spark)).where("rov = 'invalid'").join(ann, "seq").select("seq", "len", _net(), F.col("origin").alias("observed_asn"))
 
 
 def rov_counts(spark, d):
@@ -60,7 +62,7 @@ def _prefixes(spark, d):
 
 
 def prefix_format(spark, d):
-    return _prefixes(spark, d).select("len", NET, format_v4(F.col("hi"), F.col("len")).alias("prefix"))
+    return _prefixes(spark, d).select("len", _net(), format_v4(F.col("hi"), F.col("len")).alias("prefix"))
 
 
 def prefix_parse(spark, d):
@@ -76,7 +78,7 @@ def prefix_mask(spark, d):
 
 def prefix_covers(spark, d):
     p = _prefixes(spark, d)
-    return cover_join(p, p).select("len", NET, "cover_len", v4_net(F.col("cover_hi")).alias("cover_net"))
+    return cover_join(p, p).select("len", _net(), "cover_len", v4_net(F.col("cover_hi")).alias("cover_net"))
 
 
 def path_origin(spark, d):
@@ -127,11 +129,11 @@ def distinct_prefix_origin(spark, d):
 
 
 def rib_current(spark, d):
-    return rib.live(_events(spark, d)).select("len", NET, "peer", "origin", aspath.format_path(F.col("path")).alias("path_text"), "last_updated", "last_seq")
+    return rib.live(_events(spark, d)).select("len", _net(), "peer", "origin", aspath.format_path(F.col("path")).alias("path_text"), "last_updated", "last_seq")
 
 
 def rib_first_seen(spark, d):
-    return rib.current(_events(spark, d)).select("len", NET, "peer", "first_seen", "inserted_seq", "last_updated")
+    return rib.current(_events(spark, d)).select("len", _net(), "peer", "first_seen", "inserted_seq", "last_updated")
 
 
 def rib_lookup(spark, d):
@@ -139,23 +141,23 @@ def rib_lookup(spark, d):
 
 
 def rib_history(spark, d):
-    return rib.history(_events(spark, d)).select("len", NET, "position", "seq", "kind", "peer", "origin")
+    return rib.history(_events(spark, d)).select("len", _net(), "position", "seq", "kind", "peer", "origin")
 
 
 def rib_more_specifics(spark, d):
-    return rib.more_specifics(rib.live(_events(spark, d)), "10.0.0.0/13").select("len", NET, "peer", "origin")
+    return rib.more_specifics(rib.live(_events(spark, d)), "10.0.0.0/13").select("len", _net(), "peer", "origin")
 
 
 def rib_covering(spark, d):
-    return rib.covering(rib.live(_events(spark, d)), "10.3.17.0/24").select("len", NET, "peer", "origin")
+    return rib.covering(rib.live(_events(spark, d)), "10.3.17.0/24").select("len", _net(), "peer", "origin")
 
 
 def rib_by_origin(spark, d):
-    return rib.by_origin(rib.live(_events(spark, d)), 65003).select("len", NET, "peer")
+    return rib.by_origin(rib.live(_events(spark, d)), 65003).select("len", _net(), "peer")
 
 
 def rib_dominant_origin(spark, d):
-    return rib.dominant_origin(rib.live(_events(spark, d))).select("len", NET, "origin", "votes")
+    return rib.dominant_origin(rib.live(_events(spark, d))).select("len", _net(), "origin", "votes")
 
 
 def rib_stats(spark, d):
@@ -163,31 +165,31 @@ def rib_stats(spark, d):
 
 
 def effective_withdraws(spark, d):
-    return rib.changes(_events(spark, d)).where("kind = 'withdraw'").select("seq", "len", NET, "peer")
+    return rib.changes(_events(spark, d)).where("kind = 'withdraw'").select("seq", "len", _net(), "peer")
 
 
 def baseline_lock(spark, d):
-    return _baseline(spark, d).select("len", NET, "first_ts", "lock_seq")
+    return _baseline(spark, d).select("len", _net(), "first_ts", "lock_seq")
 
 
 def baseline_origins(spark, d):
-    return _baseline(spark, d).select("len", NET, _joined(F.col("origins")).alias("origins"))
+    return _baseline(spark, d).select("len", _net(), _joined(F.col("origins")).alias("origins"))
 
 
 def watch_seed(spark, d):
-    return _baseline(spark, d, WATCHED).select("len", NET, "lock_seq", _joined(F.col("origins")).alias("origins"), "watched")
+    return _baseline(spark, d, WATCHED).select("len", _net(), "lock_seq", _joined(F.col("origins")).alias("origins"), "watched")
 
 
 def hijack(spark, d):
-    return baseline.hijacks(_events(spark, d), _baseline(spark, d)).select("seq", "len", NET, "expected_asn", "observed_asn", "severity")
+    return baseline.hijacks(_events(spark, d), _baseline(spark, d)).select("seq", "len", _net(), "expected_asn", "observed_asn", "severity")
 
 
 def hijack_watched(spark, d):
-    return baseline.hijacks(_events(spark, d), _baseline(spark, d, WATCHED)).select("seq", "len", NET, "expected_asn", "observed_asn", "severity")
+    return baseline.hijacks(_events(spark, d), _baseline(spark, d, WATCHED)).select("seq", "len", _net(), "expected_asn", "observed_asn", "severity")
 
 
 def subprefix(spark, d):
-    return baseline.subprefixes(_events(spark, d), _baseline(spark, d)).select("seq", "len", NET, "cover_len", "expected_asn", "observed_asn", "severity")
+    return baseline.subprefixes(_events(spark, d), _baseline(spark, d)).select("seq", "len", _net(), "cover_len", "expected_asn", "observed_asn", "severity")
 
 
 def leak(spark, d):
@@ -199,7 +201,7 @@ def rel_edges(spark, d):
 
 
 def spike_prefix(spark, d):
-    return spikes(_events(spark, d).select("seq", "ts", *PREFIX), list(PREFIX), *SPIKE).select("seq", "len", NET, "window_count")
+    return spikes(_events(spark, d).select("seq", "ts", *PREFIX), list(PREFIX), *SPIKE).select("seq", "len", _net(), "window_count")
 
 
 def spike_peer(spark, d):
@@ -219,7 +221,7 @@ def _alerts(spark, d):
 
 
 def alerts_all(spark, d):
-    return _alerts(spark, d).select("id", "seq", "ord", "ts", "type", "severity", "len", NET, "expected_asn", "observed_asn", "peer")
+    return _alerts(spark, d).select("id", "seq", "ord", "ts", "type", "severity", "len", _net(), "expected_asn", "observed_asn", "peer")
 
 
 def alerts_query(spark, d):
@@ -245,7 +247,7 @@ ROAS = [
 
 def vrp_load(spark, d):
     rows = spark.createDataFrame(ROAS, "prefix string, asn string, maxLength string")
-    return vrp.valid(rows, ipv6=False).select("len", NET, "asn", "max_len")
+    return vrp.valid(rows, ipv6=False).select("len", _net(), "asn", "max_len")
 
 
 def ris_parse(spark, d):
@@ -260,16 +262,16 @@ def ris_parse(spark, d):
     ).otherwise(F.concat(F.lit('"withdrawals":["'), prefix, F.lit('"]')))
     line = F.concat(F.lit('{"type":"ris_message","data":{"timestamp":'), F.col("ts").cast("decimal(20,6)").cast("string"), F.lit(',"peer":"'), F.col("peer"), F.lit('","peer_asn":"'), F.col("peer_asn").cast("string"), F.lit('",'), body, F.lit("}}"))
     parsed = live.parse_lines(e.select("seq", line.alias("value")), ipv6=False, order=("seq",))
-    return parsed.select("seq", "item", "kind", "len", NET, aspath.format_path(F.col("path")).alias("path_text"), "origin_from_set", "next_hop", "peer", "peer_asn")
+    return parsed.select("seq", "item", "kind", "len", _net(), aspath.format_path(F.col("path")).alias("path_text"), "origin_from_set", "next_hop", "peer", "peer_asn")
 
 
 def feed_filter(spark, d):
-    return live.feed_filter(_events(spark, d), prefix="10.4.0.0/14").select("seq", "len", NET)
+    return live.feed_filter(_events(spark, d), prefix="10.4.0.0/14").select("seq", "len", _net())
 
 
 def prefix_view(spark, d):
     e = rib.at_prefix(_events(spark, d), "10.5.0.0/16")
-    return rib.dominant_origin(rib.live(e)).select("len", NET, "origin", "votes").join(F.broadcast(rib.live(e).agg(F.count("*").alias("routes"))))  # one row each
+    return rib.dominant_origin(rib.live(e)).select("len", _net(), "origin", "votes").join(F.broadcast(rib.live(e).agg(F.count("*").alias("routes"))))  # one row each
 
 
 def asn_prefixes(spark, d):
@@ -277,7 +279,7 @@ def asn_prefixes(spark, d):
 
 
 def carve_head(spark, d):
-    return _events(spark, d).where("seq < 400").select("seq", "kind", "len", NET)
+    return _events(spark, d).where("seq < 400").select("seq", "kind", "len", _net())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
