@@ -196,7 +196,7 @@ def _compare(max_bits: int, bucket_rows: int):
 def _block_links(max_bits: int):
     """The links between two blocks of one bucket (or within one)."""
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         a, b = _forest(np.unique(rows.column("fp").to_numpy()), max_bits)
         return pa.table({"a": a, "b": b})
 
