@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: Entries of the younger half of the cache; the older half has as many at most.
@@ -19,7 +20,9 @@ CACHE_ENTRIES = 400_000
 PIECE_BYTES = 1 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 #: Marks that are stretches of their own to the tokenizer when they end a word.
-CLOSING = b".,"
+CLOSING = ".,"
+#: The first letter whose lower case has more than one character; those before it behave alike everywhere.
+FIRST_ODD = "\u0130"
 
 
 class WordEncoder:
@@ -32,6 +35,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        #: which ids end a stretch
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.marks = {"": b"", **dict(zip(CLOSING, self._each(list(CLOSING))))}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -41,32 +48,52 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def _stretches(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are one stretch of letters each: many at once, parted by the tokens that end a stretch."""
+        out: list[bytes] = []
+        lines = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(line):
+                out += self._each(line)
+                continue
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def _learn(self, words: set[bytes]) -> None:
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        if len(young) > CACHE_ENTRIES:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        todo, plain = [], {}
+        plain, other = {}, []
         for w in words:
             if (ids := old.get(w)) is not None:
                 young[w] = ids
-            elif w.isascii() and len(w) > 1 and w[:-1].isalpha() and (w[-1:].isalpha() or w[-1] in CLOSING):
-                # ASCII letters: case does not matter, and a closing mark is encoded apart
-                plain[w] = (w[:-1].lower(), w[-1:]) if w[-1] in CLOSING else (w.lower(), b"")
+                continue
+            text = w.decode()
+            stem, mark = (text[:-1], text[-1]) if text[-1] in CLOSING else (text, "")
+            # Letters that have no other form when composed and whose case does not depend on their neighbours
+            # are encoded in lower case, and a closing mark apart.
+            if stem.isalpha() and max(stem) < FIRST_ODD:
+                plain[w] = (stem.lower(), mark)
             else:
-                todo.append(w)
-        stems = {s for s, _ in plain.values()} | {m for _, m in plain.values() if m}
-        todo += [s for s in stems if s not in young and s not in old and s not in words] + [s for s in stems if s in words and s in plain and s not in young]
-        todo = list(dict.fromkeys(todo))
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                young[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+                other.append(text)
+        known: dict[str, bytes] = {}
+        for stem in {s for s, _ in plain.values()}:
+            key = stem.encode()
+            if (ids := young.get(key) or old.get(key)) is not None:
+                known[stem] = ids
+        stems = [s for s in {s for s, _ in plain.values()} if s not in known]
+        known.update(zip(stems, self._stretches(stems)))
         for w, (stem, mark) in plain.items():
-            if w not in young:
-                ids = young.get(stem)
-                ids = old[stem] if ids is None else ids
-                young[w] = ids + (young.get(mark) or old[mark]) if mark else ids
+            young[w] = known[stem] + self.marks[mark]
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
+            young.update(zip([w.encode() for w in part], self._each(part)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; texts together should be of about PIECE_BYTES."""
