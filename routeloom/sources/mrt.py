@@ -155,6 +155,8 @@ def _decode(batches):
 def read_records(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int = 16) -> DataFrame:
     """One row for each record, with its status and events. Uncompressed files only."""
     if streaming:
+        if path[-1] not in "/]*}":  # a stream reads folders and patterns: one file is a pattern that matches it alone
+            path = f"{path[:-1]}[{path[-1]}]"
         schema = "path string, modificationTime timestamp, length bigint, content binary"
         files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
     else:
