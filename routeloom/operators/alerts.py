@@ -42,7 +42,8 @@ def _alert(rows: DataFrame, detector: str, severity: Column, expected: Column, o
 
 def candidates(events: DataFrame, vrps: DataFrame | None, watchlist: DataFrame, settings: Settings) -> DataFrame:
     """What the detectors find before cooldown, one row for each event and detector."""
-    known = base.baselines(events, watchlist, settings.baseline_window, settings.learn_watched)
+    # two detectors and the lengths of the prefixes read it: one row for each prefix, recomputed should it be lost
+    known = base.baselines(events, watchlist, settings.baseline_window, settings.learn_watched).persist()
     rate = (settings.spike_window, settings.spike_factor, settings.spike_min)
     slim = spike_input(events)
     return found_by(events, vrps, known, settings, spikes(slim, list(PREFIX), *rate), spikes(slim, ["peer"], *rate))

@@ -36,7 +36,7 @@ def _announces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _baseline(spark: SparkSession, sf_dir: str, watched: list[tuple[str, int]] = ()) -> DataFrame:
-    return baseline.baselines(_events(spark, sf_dir), fixture.watchlist(spark, watched), WINDOW)
+    return baseline.baselines(_events(spark, sf_dir), fixture.watchlist(spark, watched), WINDOW).persist()
 
 
 def _joined(numbers: Column) -> Column:
