@@ -143,22 +143,15 @@ def _same_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
     return left.join(r, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id", "_h")
 
 
-#: So many terms at most are sent to every task; more are joined by a shuffle of the terms' counts.
-BROADCAST_TERMS = 100_000
-
-
 def _disclosing(docs_texts: DataFrame, contexts: DataFrame, limits: Thresholds) -> DataFrame:
     """(entity, term, disclosure) for pairs at or over the lower threshold."""
     row = F.struct("doc_id", "h")
     pairs = contexts.groupBy("entity", "term").agg(F.countDistinct(row).alias("co"), F.countDistinct("h").alias("texts")).where(F.col("texts") >= limits.least_texts)
     pairs = cut(pairs)
-    terms = pairs.select("term").distinct()
     words = docs_texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), 1))).alias("word"))
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    if few:
-        counts = words.join(F.broadcast(terms), F.col("word") == F.col("term"), "left_semi").groupBy("word").agg(F.count("*").alias("df_t"))
-    else:
-        counts = words.groupBy("word").agg(F.count("*").alias("df_t"))
+    # Documents of each word, combined before the shuffle; only then the terms are picked, so no row is made for each
+    # document and term.
+    counts = words.groupBy("word").agg(F.count("*").alias("df_t"))
     of_entity = contexts.groupBy("entity").agg(F.countDistinct(row).alias("df_e"))
     n = docs_texts.count()
     found = pairs.join(counts, F.col("word") == F.col("term")).join(of_entity, "entity")
