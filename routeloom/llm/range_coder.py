@@ -33,7 +33,8 @@ LIMIT = 1 << 16
 #: An id's number of bits, less one; 0 and no id (-1) have class 0. At least 1 for ids from 2 on.
 CLASS = np.array([max(0, i.bit_length() - 1) for i in range(LIMIT)] + [0], np.int32)
 MAGIC, VERSION = b"TIDB", 1
-HEADER = struct.Struct("<4sBxHIIIII")  # magic, version, documents, ids, bytes of coded and stored bits, CRC-32 of ids and of what follows the header
+HEADER = struct.Struct("<4sBxHIIIII")  # magic, version, documents, ids, bytes of coded and stored bits, CRC-32 of the ids and of all other bytes
+CHECKED = HEADER.size - 4
 ENTRY = struct.Struct("<qIB")  # document id, ids here, flags
 HAS_ID, FIRST, LAST = 1, 2, 4
 
@@ -265,7 +266,8 @@ def pack(entries: list[tuple[int | None, int, bool, bool]], ids: np.ndarray, cod
     """A block's bytes. entries: (document id, ids here, first part, last part)."""
     table = b"".join(ENTRY.pack(d or 0, n, (d is not None) * HAS_ID | first * FIRST | last * LAST) for d, n, first, last in entries)
     body = table + coded[0] + coded[1]
-    return HEADER.pack(MAGIC, VERSION, len(entries), len(ids), len(coded[0]), len(coded[1]), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    head = HEADER.pack(MAGIC, VERSION, len(entries), len(ids), len(coded[0]), len(coded[1]), zlib.crc32(ids.astype("<u4").tobytes()), 0)[:CHECKED]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def unpack(data: bytes) -> tuple[list[tuple[int | None, int, bool, bool]], int, int, tuple[bytes, bytes]]:
@@ -274,7 +276,7 @@ def unpack(data: bytes) -> tuple[list[tuple[int | None, int, bool, bool]], int,
         raise ValueError("a block is cut short")
     magic, version, documents, n, coded, stored, ids_crc, crc = HEADER.unpack_from(data)
     body = data[HEADER.size :]
-    if magic != MAGIC or version != VERSION or len(body) != documents * ENTRY.size + coded + stored or zlib.crc32(body) != crc:
+    if magic != MAGIC or version != VERSION or len(body) != documents * ENTRY.size + coded + stored or zlib.crc32(body, zlib.crc32(data[:CHECKED])) != crc:
         raise ValueError("a block is damaged")
     entries = []
     for k in range(documents):

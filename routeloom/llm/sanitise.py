@@ -204,9 +204,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         " array_append(acc, x)))"
     )
     found = found.withColumn("_s", sorted_).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), merged.alias("_m"))
-    t = F.col(text_col).cast("string")
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce(t, F.lit("")))).join(found, (F.col("_key") == F.col("_h")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")), "left")
+    # the rows' own columns travel as one, so that none can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
+    joined = rows.join(found, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     mark = F.create_map(*(x for k, v in PLACEHOLDER.items() for x in (F.lit(k), F.lit(v))))
+    t = F.col("t")
 
     def part(s: Column, i: Column) -> Column:
         begin = F.when(i > 0, F.try_element_at(F.col("_m"), i)["end"]).otherwise(0)  # the end of the span before
@@ -214,4 +217,5 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     last = F.element_at("_m", -1)["end"]
     clean = F.concat(F.array_join(F.transform("_m", part), ""), F.substring(t, last + 1, F.length(t) - last))
-    return joined.withColumn(text_col, F.when(F.col("_m").isNotNull(), clean).otherwise(F.col(text_col))).drop("_key", "_id", "_h", "_m")
+    text = F.when(F.col("_m").isNotNull(), clean).otherwise(t)
+    return joined.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -350,7 +350,7 @@ def test_language(spark, docs, empty):
     rows = [(i, " ".join(rng.choice(de if i % 2 else en) for _ in range(30)), "de" if i % 2 else "en") for i in range(60)] + [(60, None, "de"), (61, "x", None)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), PIECES)
     assert model.languages == ("de", "en")
-    tests = [("Das Haus und die Straße", "de"), ("The house, and the street.", "en"), ("", "und"), (None, "und"), ("12 + 3 !", "und"), ("ü" * 5000, "de")]
+    tests = [("Das Haus und die Straße", "de"), ("The house, and the street.", "en"), ("", "und"), (None, "und"), ("12 + 3 !", "und"), ("straße" * 800, "de")]
     df = spark.createDataFrame([(i, t, "zz") for i, (t, _) in enumerate(tests)], "doc_id bigint, text string, lang_pred string")
     got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
     assert [got[i].lang_pred for i in range(len(tests))] == [w for _, w in tests] and all(0 <= r.score <= 1 for r in got.values())
@@ -441,7 +441,7 @@ def test_sanitise_base(spark, docs, empty):
 
 
 def test_sanitise_terms(spark):
-    rows = [(i, f"note {i} ask Quillon Marsh at marsh@corp.example soon, number {i}") for i in range(6)] + [(10 + i, f"the note and ask the others soon {i}") for i in range(60)] + [(90, None), (91, "Quillon alone")]
+    rows = [(i, f"note {i} ask Quillon Marsh at marsh@corp.example soon, number {i}") for i in range(6)] + [(10 + i, f"the note and ask the others soon, a number {i}") for i in range(60)] + [(90, None), (91, "Quillon alone")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"h": F.lit("x"), "_m": F.lit(1), "n_chars": F.lit(5)})
     found = {r.doc_id: r for r in sanitise.spans(df, limits=sanitise.Thresholds(least_texts=3)).collect()}
     terms = {rows[0][1][s.start : s.end]: s.value for s in found[0].added}
