@@ -156,7 +156,10 @@ def _expected(lattice: np.ndarray, p: np.ndarray, sizes: np.ndarray, counts: np.
 def train(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 6000, words_per_language: int = 12000, rounds: int = 6) -> Model:
     """Learn from at most sample_rows rows (those with the smallest hashes of their ids) with a language and a text."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where("t is not null and lang is not null")
-    sample = rows.orderBy(F.xxhash64("i"), "i").limit(sample_rows)
+    # The sample is chosen by ids and hashes alone: no task gathers texts. It has at most sample_rows rows of two numbers.
+    rows = rows.where("i is not null").withColumn("th", F.xxhash64("t"))
+    chosen = rows.select("i", "th").orderBy(F.xxhash64("i"), "i", "th").limit(sample_rows)
+    sample = rows.join(F.broadcast(chosen), ["i", "th"], "left_semi").dropDuplicates(["i", "th"])
     word = F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1)).alias("word")
     counted = sample.select("lang", word).where("length(word) <= 40").groupBy("lang", "word").count()
     ranked = cut(counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= words_per_language))
