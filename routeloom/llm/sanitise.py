@@ -6,12 +6,14 @@ it even when it is masked. How strongly a term t reveals an entity e is estimate
 corpus: the pointwise mutual information of t and e, as a share of the entity's own
 information,
 
-    disclosure(e; t) = log(N co(e, t) / (df(e) df(t))) / log(N / df(e)),
+    disclosure(e; t) = log(N p(e | t) / df(e)) / log(N / df(e)),
+    p(e | t) = (co(e, t) + a df(e) / N) / (df(t) + a),
 
-with document counts df and co over the whole corpus. It is 1 when t occurs with e only.
-Terms at or over `generalise_at` near the entity are replaced by a placeholder, terms at
-or over `remove_at` are removed. A pair must occur in `least_texts` different texts: what
-occurs once can't be told from chance.
+with document counts df and co over the whole corpus. It is near 1 when t occurs with e
+only. Most values occur in one text, so pairs that occur once count too; `a` documents of
+no information (`prior`) hold their estimate below that of pairs that repeat. Terms at or
+over `generalise_at` near the entity are replaced by a placeholder, terms at or over
+`remove_at` are removed. A pair must occur in `least_texts` different texts.
 
 Everything is column expressions and joins; no Python runs on the executors. Patterns are
 written with possessive quantifiers, so they neither backtrack nor recurse on long texts.
@@ -50,7 +52,8 @@ TERM = r"\p{L}{3,}"
 class Thresholds:
     generalise_at: float = 0.8
     remove_at: float = 0.98
-    least_texts: int = 3
+    least_texts: int = 1
+    prior: float = 0.25
     #: terms on each side of an entity
     window: int = 4
 
@@ -156,7 +159,8 @@ def _disclosing(docs_texts: DataFrame, contexts: DataFrame, limits: Thresholds)
     n = docs_texts.count()
     found = pairs.join(counts, F.col("word") == F.col("term")).join(of_entity, "entity")
     own = F.log(F.lit(float(n)) / F.col("df_e"))
-    value = F.when(own > 0, F.log(F.lit(float(n)) * F.col("co") / (F.col("df_e") * F.col("df_t"))) / own).otherwise(F.lit(0.0))
+    share = (F.col("co") + limits.prior * F.col("df_e") / float(n)) / (F.col("df_t") + limits.prior) if n else F.lit(0.0)
+    value = F.when(own > 0, F.log(F.lit(float(n)) * share / F.col("df_e")) / own).otherwise(F.lit(0.0))
     return found.select("entity", "term", value.alias("disclosure")).where(F.col("disclosure") >= limits.generalise_at)
 
 
