@@ -12,8 +12,10 @@ information,
 with document counts df and co over the whole corpus. It is near 1 when t occurs with e
 only. Most values occur in one text, so pairs that occur once count too; `a` documents of
 no information (`prior`) hold their estimate below that of pairs that repeat. Terms at or
-over `generalise_at` near the entity are replaced by a placeholder, terms at or over
-`remove_at` are removed. A pair must occur in `least_texts` different texts.
+over `generalise_at` are replaced by a placeholder, terms at or over `remove_at` are
+removed. That holds for the `window` terms next to the entity on either side, however far
+off they are, if the pair occurs in `least_texts` different texts; anywhere in the
+entity's documents, if it occurs in `far_texts` different ones.
 
 Everything is column expressions and joins; no Python runs on the executors. Patterns are
 written with possessive quantifiers, so they neither backtrack nor recurse on long texts.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stored
@@ -44,7 +46,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PLACEHOLDER = {kind: f"[{kind.upper()}]" for kind in (*KINDS, ADDED)}
-#: A context's characters on either side of an entity, and its terms.
 TERM = r"\p{L}{3,}"
 
 
@@ -53,6 +54,7 @@ class Thresholds:
     generalise_at: float = 0.8
     remove_at: float = 0.98
     least_texts: int = 1
+    far_texts: int = 3
     prior: float = 0.25
     #: terms on each side of an entity
     window: int = 4
@@ -102,66 +104,41 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), t.alias("text")).withColumn("h", F.xxhash64("text"))
 
 
-def _contexts(texts: DataFrame, base: DataFrame, window: int) -> DataFrame:
-    """(doc_id, h, entity, term, start, end): the terms on either side of each span, lower-cased, with their places."""
-    some = base.where(F.size("base") > 0)
-    spans = some.select("doc_id", "h", F.explode("base").alias("s"))
-    # the characters around a span that hold its terms; longer words than this are not terms
-    reach = 16 * window
-    around = _same_rows(texts, spans).select(
-        "doc_id", "h", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
-        F.greatest(F.col("s.start") - reach, F.lit(0)).alias("from_"), F.col("s.start").alias("at"), F.col("s.end").alias("to_"), "text",
-    ).select(
-        "doc_id", "h", "entity", "from_", "to_",
-        F.expr("substring(text, from_ + 1, at - from_)").alias("before"), F.expr(f"substring(text, to_ + 1, {reach})").alias("after"),
-    )
-    # letters at the outer ends may be a part of a word only: the pattern asks for a neighbour that is no letter
-    out = around.select(
-        "doc_id", "h", "entity", "from_", "to_", "before", "after",
-        F.split("before", r"(?<!^)(?<!\p{L})(?=\p{L})|(?<=\p{L})(?!\p{L})").alias("b"), F.split("after", r"(?<!\p{L})(?=\p{L})|(?<=\p{L})(?!\p{L})").alias("a"),
-    )
-
-    def placed(parts: str, offset: str) -> Column:
-        """Parts with their places."""
-        return F.expr(
-            f"aggregate({parts}, struct({offset} as at, cast(array() as array<struct<term:string,start:int,end:int>>) as out),"
-            f" (acc, p) -> struct(acc.at + length(p) as at, array_append(acc.out, struct(lower(p) as term, acc.at as start, acc.at + length(p) as end)) as out), acc -> acc.out)"
-        )
-
-    terms = lambda c: F.filter(c, lambda p: p["term"].rlike(rf"^{TERM}$"))
-    out = out.select(
-        "doc_id", "h", "entity", "from_",
-        "to_",
-        placed("b", "from_").alias("pb"), placed("a", "to_").alias("pa"),
-    )
-    # a part that touches the cut end of its side is incomplete there, unless the text ends too
-    before = F.filter(terms(F.col("pb")), lambda p: (p["start"] > F.col("from_")) | (F.col("from_") == 0))
-    after = F.filter(terms(F.col("pa")), lambda p: p["end"] < F.col("to_") + reach)
-    nearest = F.concat(F.slice(F.reverse(before), 1, window), F.slice(after, 1, window))
-    return out.select("doc_id", "h", "entity", F.explode(nearest).alias("t")).select("doc_id", "h", "entity", "t.term", "t.start", "t.end")
-
-
-def _same_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    r = right.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    return left.join(r, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id", "_h")
-
-
-def _disclosing(docs_texts: DataFrame, contexts: DataFrame, limits: Thresholds) -> DataFrame:
-    """(entity, term, disclosure) for pairs at or over the lower threshold."""
-    row = F.struct("doc_id", "h")
-    pairs = contexts.groupBy("entity", "term").agg(F.countDistinct(row).alias("co"), F.countDistinct("h").alias("texts")).where(F.col("texts") >= limits.least_texts)
-    pairs = cut(pairs)
-    words = docs_texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), 1))).alias("word"))
-    # Documents of each word, combined before the shuffle; only then the terms are picked, so no row is made for each
-    # document and term.
-    counts = words.groupBy("word").agg(F.count("*").alias("df_t"))
-    of_entity = contexts.groupBy("entity").agg(F.countDistinct(row).alias("df_e"))
-    n = docs_texts.count()
-    found = pairs.join(counts, F.col("word") == F.col("term")).join(of_entity, "entity")
-    own = F.log(F.lit(float(n)) / F.col("df_e"))
-    share = (F.col("co") + limits.prior * F.col("df_e") / float(n)) / (F.col("df_t") + limits.prior) if n else F.lit(0.0)
-    value = F.when(own > 0, F.log(F.lit(float(n)) * share / F.col("df_e")) / own).otherwise(F.lit(0.0))
-    return found.select("entity", "term", value.alias("disclosure")).where(F.col("disclosure") >= limits.generalise_at)
+def _places(some: DataFrame) -> DataFrame:
+    """some(row, text, base) -> (row, start, end, term, entity, n): the terms outside all spans, numbered in order; for a span, n is the number of terms before it."""
+    matches, between = F.regexp_extract_all("text", F.lit(TERM), 0), F.split("text", TERM, -1)
+    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(m.alias("m"), F.length(m).alias("size"), (F.length(b) + F.length(m)).alias("step")))
+    parts = some.select("row", F.posexplode(pairs).alias("i", "p"))
+    end = F.sum("p.step").over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    none = F.lit(None).cast("string")
+    terms = parts.select("row", end.alias("end"), "p.size", F.lower("p.m").alias("term")).select("row", (F.col("end") - F.col("size")).alias("start"), "end", "term", none.alias("entity"))
+    spans = some.select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", none.alias("term"), _entity(F.col("s")).alias("entity"))
+    so_far = Window.partitionBy("row").orderBy("start", F.col("term").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.coalesce(F.max(F.when(F.col("term").isNull(), F.col("end"))).over(so_far) > F.col("start"), F.lit(False))
+    events = terms.union(spans).withColumn("open", F.col("term").isNotNull() & ~inside)
+    return events.withColumn("n", F.sum(F.col("open").cast("int")).over(so_far)).where(F.col("open") | F.col("term").isNull()).drop("open")
+
+
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
+
+
+def _disclosing(docs_texts: DataFrame, some: DataFrame, limits: Thresholds) -> DataFrame:
+    """(entity, term, texts, disclosure) for pairs at or over the lower threshold. All counts are of documents."""
+    words = lambda: F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower)))
+    n = float(docs_texts.count())
+    # Documents of each word, combined before the shuffle.
+    counts = docs_texts.select(words().alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    of_doc = some.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    of_doc = of_doc.join(of_doc.groupBy("entity").agg(F.count("*").alias("df_e")), "entity")
+    terms = some.select("row", "h", words().alias("term")).join(counts, "term")
+    # co is df_e at most; terms too frequent to reach the threshold even then make no pair
+    most = F.pow("df_e", F.lit(limits.generalise_at)) * F.pow(F.lit(n), F.lit(1 - limits.generalise_at))
+    pairs = of_doc.join(terms, "row").where((F.col("df_t") <= most + 1) & (F.col("df_e") < n))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("co"), F.countDistinct("h").alias("texts"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
+    share = (F.col("co") + limits.prior * F.col("df_e") / F.lit(n)) / (F.col("df_t") + limits.prior)
+    value = F.log(F.lit(n) * share / F.col("df_e")) / F.log(F.lit(n) / F.col("df_e"))
+    return pairs.select("entity", "term", "texts", value.alias("disclosure")).where((F.col("disclosure") >= limits.generalise_at) & (F.col("texts") >= limits.least_texts))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
@@ -172,17 +149,24 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     returned like any other. An empty table gives an empty result. Other columns are ignored.
     """
     texts = _texts(docs, id_col, text_col)
-    base = texts.select("doc_id", "h", F.concat(*(_found(F.col("text"), k) for k in KINDS)).alias("base"))
-    base = stored(base, "base-spans")
-    contexts = stored(_contexts(texts, base, limits.window).distinct(), "contexts")
-    flagged = _disclosing(texts, contexts, limits)
+    base = texts.select("doc_id", "h", "text", F.concat(*(_found(F.col("text"), k) for k in KINDS)).alias("base"))
+    # rows get a number, fixed by writing them; texts are needed further where something is found
+    held = F.when(F.size("base") > 0, F.col("text")).alias("text")
+    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "base", held), "base-spans")
+    some = base.where(F.size("base") > 0)
+    places = stored(_places(some), "places")
+    terms, entities = places.where("term is not null").drop("entity"), places.where("entity is not null").select("row", "entity", "n")
+    found = cut(_disclosing(texts, some, limits))
+    beside = F.explode(F.sequence(F.col("n") - limits.window + 1, F.col("n") + limits.window)).alias("n")
+    near = entities.select("row", "entity", beside).join(terms, ["row", "n"]).join(found, ["entity", "term"])
+    far = entities.select("row", "entity").distinct().join(found.where(F.col("texts") >= limits.far_texts), "entity").join(terms, ["row", "term"])
+    flagged = near.select("row", "start", "end", "disclosure").union(far.select("row", "start", "end", "disclosure"))
     action = F.when(F.max("disclosure") >= limits.remove_at, "remove").otherwise("generalise")
-    of_row = contexts.join(flagged, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(action.alias("value"))
-    of_row = of_row.groupBy("doc_id", "h").agg(
+    of_row = flagged.groupBy("row", "start", "end").agg(action.alias("value")).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(ADDED).alias("kind"), "start", "end", "value")), lambda a, b: a["start"] - b["start"]).alias("added")
     )
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
-    return _same_rows(base, of_row, "left").select("doc_id", "h", "base", F.coalesce("added", none).alias("added"))
+    return base.drop("text").join(of_row, "row", "left").select("doc_id", "h", "base", F.coalesce("added", none).alias("added"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -16,3 +16,23 @@ def added(spark, rows):
 def test_a_value_of_one_text(spark):
     got = added(spark, [(0, "the note and ask Quillon Marsh at qm@corp.example soon"), (1, "the note and ask the others soon")])
     assert got == [{"Quillon": "generalise", "Marsh": "generalise"}, {}]
+
+
+def test_the_nearest_terms_at_any_distance(spark):
+    got = added(spark, [(0, "ask Quillon" + " 1234567" * 30 + " qm@corp.example" + "\n" * 100 + "Incomprehensibilities Antidisestablishmentarianism")])
+    assert set(got[0]) == {"Quillon", "Incomprehensibilities", "Antidisestablishmentarianism"}
+
+
+def test_a_heading_apart_from_the_value(spark):
+    rows = [(i, f"Quillon: the note and ask the others soon, a number {i} and the others at qm@corp.example") for i in range(4)]
+    got = added(spark, rows)
+    assert all(g == {"Quillon": "remove"} for g in got)
+    # in some texts inside the window, in others outside: both are counted
+    rows = [(0, "Quillon qm@corp.example"), (1, "Quillon ask the others soon, the note and number qm@corp.example"), (2, "ask Quillon or the others soon, the note and number qm@corp.example")]
+    assert all("Quillon" in g for g in added(spark, rows))
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "ask Quillon at qm@corp.example")] * 2 + [(5, None)] + FILL, "doc_id bigint, text string")
+    rows = sanitise.spans(df).collect()
+    assert len(rows) == 203 and [len(r.added) for r in rows if r.base] == [1, 1]
