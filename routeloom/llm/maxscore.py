@@ -71,7 +71,8 @@ def _search(blocks: list[_Block], query_id: int, q: np.ndarray, k: int) -> tuple
                     score[at] += q[term] * values
                     met[at] = True
         if theta is not None:
-            rows = np.flatnonzero(met)
+            # a row that is met nowhere scores 0, which can be enough; no term is left to the rest then
+            rows = np.flatnonzero(met) if theta > 0 else np.arange(len(block.ids))
         rows = rows[block.ids[rows] != query_id]
         score = score[rows]
         for n in range(len(rest) - 1, -1, -1):  # what the other terms can still add is sums[n]
