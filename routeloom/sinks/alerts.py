@@ -53,11 +53,11 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def log_sink(limit: int = 1000) -> Callable[[DataFrame, int], None]:
-    """The newest alerts of a batch as log lines."""
+def log_sink() -> Callable[[DataFrame, int], None]:
+    """Every alert of a batch as a log line, in order of id; the driver holds one partition at a time."""
 
     def write(alerts: DataFrame, batch: int) -> None:
-        for a in alerts.orderBy(F.desc("id")).limit(limit).collect():
+        for a in alerts.select("id", "type", "severity", "observed_asn", "peer").orderBy("id").toLocalIterator():
             level = logging.ERROR if a.severity == "critical" else logging.WARNING
             log.log(level, "alert id=%d type=%s severity=%s observed_asn=%d peer=%s", a.id, a.type, a.severity, a.observed_asn, a.peer)
 
