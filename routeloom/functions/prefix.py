@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import PREFIX
+
 PREFIX_TYPE = T.StructType([T.StructField("family", T.IntegerType()), T.StructField("len", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
 
 
@@ -96,7 +98,8 @@ def format_text(family: int, length: int, hi: int, lo: int) -> str:
 def parse(texts: pd.Series) -> pd.DataFrame:
     """The prefix of a text of either family; all fields null if it is none."""
     rows = [parse_text(t) or (None,) * 4 for t in texts]
-    return pd.DataFrame(rows, columns=["family", "len", "hi", "lo"]).astype("Int64")
+    # column by column: with a null among them, pandas would make floats of a frame's numbers
+    return pd.DataFrame({c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(PREFIX)})
 
 
 @F.pandas_udf(T.StringType())
