@@ -7,23 +7,81 @@ from routeloom.functions.prefix import format_text
 from routeloom.sources import bgp, config, live, mrt, vrp
 from routeloom.sources.bgp import p
 
-MALFORMED = [
-    ("00400000", "EBADLEN"), ("0000000440010500", "EATTRLEN"), ("0000000140", "ETRUNC"), ("0003210A000000", "EPREFIXLEN"), ("000000054001020000", "EATTRLEN"), ("0000000440010103", "EATTRLEN"),
-    ("0000000740020405011B1B", "ESEGTYPE"), ("0000000740020402051B1B", "ETRUNC"), ("0000000440630100", "EATTRLEN"), ("0000000D4001010040020602021B1B3B4118C63364", "EMISSING"), ("00000008800E050019010000", "EAFI"),
-]
-
-
-@pytest.mark.parametrize("text, code", MALFORMED)
-def test_malformed_updates(text, code):
+SOUND = bgp.Update(withdrawn=[p("100.64.0.0/10")], nlri=[p("172.30.0.0/15")], path=[64801, 64802, 64803], origin=1, next_hop="198.18.0.7", med=41, communities=[64801 << 16 | 9])
+
+
+def _body(withdrawn=b"", attributes=b"", nlri=b"", withdrawn_length=None, attributes_length=None):
+    """An UPDATE's payload from its parts; a length given replaces the right one."""
+    size = lambda part, n: (len(part) if n is None else n).to_bytes(2, "big")
+    return size(withdrawn, withdrawn_length) + withdrawn + size(attributes, attributes_length) + attributes + nlri
+
+
+def _parts(u):
+    """(withdrawn, attributes as {type: [flags, value]}, nlri) of an encoded message."""
+    c = bgp.header(bgp.encode_update(u, as4=False))[1]
+    withdrawn, attributes, found = bytes(c.take(c.number(2))), c.part(c.number(2), "EBADLEN"), {}
+    while attributes.left():
+        flags, kind = attributes.number(1), attributes.number(1)
+        found[kind] = [flags, bytes(attributes.take(attributes.number(1)))]
+    return withdrawn, found, bytes(c.take(c.left()))
+
+
+def _damaged(change=None, drop=(), **lengths):
+    """The sound message with one thing changed: change(attributes) edits them, drop leaves some out."""
+    withdrawn, found, nlri = _parts(SOUND)
+    if change:
+        change(found)
+    data = b"".join(bytes([flags, kind, len(value)]) + value for kind, (flags, value) in found.items() if kind not in drop)
+    return _body(lengths.pop("withdrawn", withdrawn), data, lengths.pop("nlri", nlri), **lengths)
+
+
+def _set(kind, value, flags=None):
+    def change(found):
+        found[kind] = [found.get(kind, [0xC0])[0] if flags is None else flags, value]
+
+    return change
+
+
+DAMAGED = {
+    "withdrawn routes longer than the message": (_damaged(withdrawn_length=600), "EBADLEN"),
+    "attributes longer than the message": (_damaged(attributes_length=999), "EBADLEN"),
+    "no length of the attributes": (_damaged()[:4], "EBADLEN"),
+    "a withdrawn prefix of 57 bits": (_damaged(withdrawn=b"\x39" + bytes(8)), "EPREFIXLEN"),
+    "an announced prefix that ends early": (_damaged(nlri=b"\x1f\xac\x1e"), "ETRUNC"),
+    "an attribute's value that ends early": (_body(attributes=b"\x40\x02\x30\x02\x01"), "EATTRLEN"),
+    "an attribute's head that ends early": (_body(attributes=b"\x80"), "ETRUNC"),
+    "an origin of two bytes": (_damaged(_set(1, b"\0\1")), "EATTRLEN"),
+    "an origin of 77": (_damaged(_set(1, b"\x4d")), "EATTRLEN"),
+    "a path segment of type 4": (_damaged(_set(2, b"\x04\x01\xfd\x21")), "ESEGTYPE"),
+    "a path segment with fewer numbers than it says": (_damaged(_set(2, b"\x02\x07\xfd\x21\xfd\x22")), "ETRUNC"),
+    "a path of 260": (_body(attributes=b"\x50\x02" + (524).to_bytes(2, "big") + (b"\x02\x82" + b"\xfd\x21" * 130) * 2), "E2BIG"),
+    "a next hop of three bytes": (_damaged(_set(3, b"\xc6\x12\0")), "EATTRLEN"),
+    "a metric of five bytes": (_damaged(_set(4, bytes(5))), "EATTRLEN"),
+    "communities of six bytes": (_damaged(_set(8, bytes(6))), "EATTRLEN"),
+    "an unknown attribute that must be known": (_damaged(_set(201, b"x", 0x40)), "EATTRLEN"),
+    "another family": (_damaged(_set(14, b"\0\7\1\4" + bytes(5), 0x80)), "EAFI"),
+    "multicast": (_damaged(_set(15, b"\0\2\2", 0x80)), "EAFI"),
+    "a next hop of 48 bytes": (_damaged(_set(14, b"\0\2\1\x30" + bytes(49), 0x80)), "EATTRLEN"),
+    "routes without a next hop": (_damaged(drop=(3,)), "EMISSING"),
+    "routes without a path": (_damaged(drop=(2,)), "EMISSING"),
+    "routes without an origin": (_damaged(drop=(1,)), "EMISSING"),
+}
+
+
+@pytest.mark.parametrize("name", DAMAGED)
+def test_damaged_updates(name):
+    data, code = DAMAGED[name]
     with pytest.raises(bgp.BgpError) as e:
-        bgp.update(bytes.fromhex(text), as4=False)
+        bgp.update(data, as4=False)
     assert e.value.code == code and code in bgp.ERRORS
 
 
-def test_accepted_updates():
-    assert bgp.update(bytes.fromhex("00000004C0630100"), False).unknown == 1
-    u = bgp.update(bytes(4), False)
-    assert not u.nlri and not u.withdrawn
+def test_sound_updates():
+    assert bgp.update(_damaged(), False) == SOUND
+    u = bgp.update(_damaged(_set(233, b"any", 0x80)), False)  # optional ones may be unknown
+    assert u.unknown == 1 and u.nlri == SOUND.nlri
+    only = bgp.update(_damaged(drop=tuple(range(1, 9)), nlri=b""), False)  # withdrawals need no attribute
+    assert only.withdrawn == SOUND.withdrawn and only.nlri == [] and only.path is None
 
 
 def test_headers():
@@ -37,14 +95,14 @@ def test_headers():
 
 def test_round_trips():
     u = bgp.Update(
-        withdrawn=[p("10.1.0.0/16")], nlri=[p("198.51.100.0/24"), p("0.0.0.0/0")], path=[6939, 4200000001, 64500], from_set=True, origin=0, next_hop="192.0.2.1", med=7, local_pref=100,
-        communities=[1 << 16 | 2], mp_nlri=[p("2001:db8::/32")], mp_next_hop=bytes(15) + b"\1", mp_unreach=[p("2001:db8:1::/48")],
+        withdrawn=[p("100.72.0.0/13")], nlri=[p("172.20.8.0/21"), p("0.0.0.0/0")], path=[64811, 4199990007, 64813], from_set=True, origin=2, next_hop="198.18.3.3", med=70, local_pref=310,
+        communities=[64811 << 16 | 5], mp_nlri=[p("fd00:12::/31")], mp_next_hop=bytes(14) + b"\2\1", mp_unreach=[p("fd00:99::/44")],
     )
     kind, payload = bgp.header(bgp.encode_update(u))
     assert kind == bgp.UPDATE and bgp.update(payload, True) == u
-    two = bgp.Update(nlri=[p("10.0.0.0/8")], path=[6939, 4200000001], origin=0, next_hop="1.1.1.1", path4=([4200000001], False))
+    two = bgp.Update(nlri=[p("172.24.0.0/14")], path=[64811, 4199990007, 4199990008], origin=0, next_hop="198.18.3.4", path4=([4199990007, 4199990008], False))
     got = bgp.update(bgp.header(bgp.encode_update(two, as4=False))[1], False)
-    assert got.path == [6939, 4200000001]
+    assert got.path == [64811, 4199990007, 4199990008]
 
 
 def test_open():
