@@ -6,49 +6,63 @@ of their probabilities; a forward pass over the word's characters computes it. A
 score is the sum of its words' logarithms, and the prediction the language with the
 largest; words are the runs of letters, in lower case, with a mark where they begin.
 
-The probabilities are learned by expectation and maximisation over the most frequent words
-of each language in a bounded sample of labelled rows: forward and backward passes give
-each piece's expected count, so segmentations are summed in training too.
+The probabilities are learned by expectation and maximisation over all words of a bounded
+sample of labelled rows: forward and backward passes give each piece's expected count, so
+segmentations are summed in training too. Training and prediction cut texts into words by
+the same function. All lower-case pieces of letters in the vocabulary are used, whatever
+their length; an automaton finds them in many words at once.
 
 Each different word of a Python worker is scored once and kept in a bounded cache.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_texts
+from .common import in_worker, keyed_texts
 
 BEGIN = "▁"
 UNDETERMINED = "und"
-#: Longer pieces are not used.
-PIECE_CHARS = 12
 #: Probability of a character that is no piece.
 RARE = 1e-7
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 TEXT_CHARS = 1 << 20
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters are those of Unicode's category L; number signs such as ½, ² and Ⅳ are none.
+LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    return LETTERS.findall(text.lower())
 
 
 class Vocabulary:
     _kept: dict[str, Vocabulary] = {}
 
     def __init__(self, model_path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-        usable = dict.fromkeys(p for p in pieces if len(p) <= PIECE_CHARS and (p.lstrip(BEGIN).isalpha() or p == BEGIN) and p == p.lower())
+        usable = dict.fromkeys(p for p in pieces if p and (p == BEGIN or LETTERS.fullmatch(p.removeprefix(BEGIN))) and p == p.lower())
         self.ids = {p: i + 1 for i, p in enumerate(usable)}  # 0: no such piece
         self.rare = len(self.ids) + 1
         self.size = len(self.ids) + 2
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.lengths = np.array([0, *map(len, self.ids), 1], np.int64)
+        self.longest = int(self.lengths.max())
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.automaton.add_word(piece, i)
+        self.automaton.make_automaton()
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
@@ -58,24 +72,16 @@ class Vocabulary:
 
     def lattice(self, words: list[str], width: int) -> np.ndarray:
         """[word, start, length - 1] -> id of the piece there; words get the mark of a beginning."""
-        out = np.zeros((len(words), width, PIECE_CHARS), np.int32)
-        ids, heads, rare = self.ids, self.heads, self.rare
-        rows, starts, lengths, found = [], [], [], []
-        for row, word in enumerate(words):
-            word = BEGIN + word
-            n = len(word)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + PIECE_CHARS) + 1):
-                    piece = word[i:j]
-                    if piece not in heads:
-                        if j == i + 1:
-                            rows.append(row), starts.append(i), lengths.append(0), found.append(rare)
-                        break
-                    if (k := ids.get(piece)) is not None:
-                        rows.append(row), starts.append(i), lengths.append(j - i - 1), found.append(k)
-                    elif j == i + 1:
-                        rows.append(row), starts.append(i), lengths.append(0), found.append(rare)
-        out[rows, starts, lengths] = found
+        out = np.zeros((len(words), width, self.longest), np.int32)
+        text = "\n".join([BEGIN + w for w in words])  # a line's end is in no piece
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size + 1) - size - 1
+        row = np.repeat(np.arange(len(words)), size + 1)[found[:, 0]]
+        length = self.lengths[found[:, 1]]
+        out[row, found[:, 0] - length + 1 - begin[row], length - 1] = found[:, 1]
+        single = out[:, :, 0]
+        single[(single == 0) & (np.arange(width) < size[:, None])] = self.rare
         return out
 
 
@@ -93,17 +99,17 @@ def _groups(sizes: np.ndarray):
 
 def _forward(lattice: np.ndarray, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Logarithm of each word's summed probability in each language, [word, language]. Values are scaled as they shrink."""
-    n, width, _ = lattice.shape
+    n, width, longest = lattice.shape
     alpha = np.zeros((width + 1, n, p.shape[1]))
     alpha[0] = 1
     scale, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
     for i in range(1, width + 1):
-        for length in range(1, min(i, PIECE_CHARS) + 1):
+        for length in range(1, min(i, longest) + 1):
             ids = lattice[:, i - length, length - 1]
             if ids.any():
                 alpha[i] += alpha[i - length] * p[ids]
         if i % 16 == 0:
-            recent = alpha[max(0, i - PIECE_CHARS + 1) : i + 1]
+            recent = alpha[max(0, i - longest + 1) : i + 1]
             top = recent.max(axis=0)
             top[top == 0] = 1  # past a word's end
             recent /= top
@@ -133,50 +139,79 @@ class Model:
 
 
 def _expected(lattice: np.ndarray, p: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected counts of the pieces in one language, over words with counts."""
-    n, width, _ = lattice.shape
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    """Expected counts of the pieces in one language, over words with counts. Values are scaled as they shrink; the logarithms of the scales are kept."""
+    n, width, longest = lattice.shape
+    alpha, beta, every = np.zeros((width + 1, n)), np.zeros((width + 1, n)), np.arange(n)
+    scale, now = np.zeros((width + 1, n)), np.zeros(n)
     alpha[0] = 1
-    beta[sizes, np.arange(n)] = 1
+    beta[sizes, every] = 1
     for i in range(1, width + 1):
-        for length in range(1, min(i, PIECE_CHARS) + 1):
-            alpha[i] += alpha[i - length] * p[lattice[:, i - length, length - 1]]
-    total, out = np.zeros(n), np.zeros(len(p))
-    total = alpha[sizes, np.arange(n)]
-    weight = np.divide(counts, total, out=np.zeros(n), where=total > 0)
+        for length in range(1, min(i, longest) + 1):
+            ids = lattice[:, i - length, length - 1]
+            if ids.any():
+                alpha[i] += alpha[i - length] * p[ids]
+        scale[i] = now
+        if i % longest == 0:
+            recent = slice(i - longest + 1, i + 1)  # exactly those since the last time
+            top = alpha[recent].max(axis=0)
+            top[top == 0] = 1  # past a word's end
+            alpha[recent] /= top
+            now = now + np.log(top)
+            scale[recent] = now
+    total = alpha[sizes, every]
+    rest = np.where(total > 0, scale[sizes, every] + np.log(np.where(total > 0, total, 1)), np.inf)
+    out, now = np.zeros(len(p)), np.zeros(n)
     for i in range(width - 1, -1, -1):
-        for length in range(1, min(width - i, PIECE_CHARS) + 1):
+        weight = counts * np.exp(scale[i] + now - rest) * alpha[i]
+        for length in range(1, min(width - i, longest) + 1):
             ids = lattice[:, i, length - 1]
-            through = p[ids] * beta[i + length]
-            beta[i] += through
-            out += np.bincount(ids, alpha[i] * through * weight, len(p))
+            if ids.any():
+                through = p[ids] * beta[i + length]
+                beta[i] += through
+                out += np.bincount(ids, through * weight, len(p))
+        if i % longest == 0:
+            recent = slice(i, i + longest)
+            top = beta[recent].max(axis=0)
+            top[top == 0] = 1
+            beta[recent] /= top
+            now = now + np.log(top)
     return out
 
 
-def train(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 6000, words_per_language: int = 12000, rounds: int = 6) -> Model:
-    """Learn from at most sample_rows rows (those with the smallest hashes of their ids) with a language and a text."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where("t is not null and lang is not null")
+def _counted(batches):
+    """The words of each language and how often each occurs in a batch."""
+    for batch in batches:
+        found: dict[str, Counter] = {}
+        for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found.setdefault(language, Counter()).update(words_of(text.as_py()))
+        rows = [(language, word, n) for language, counts in found.items() for word, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+
+
+def train(labelled: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 4000, rounds: int = 6) -> Model:
+    """Learn from at most sample_rows rows (those with the smallest hashes of their ids) with a language and a text, from all words of these."""
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).where("t is not null and lang is not null")
     # The sample is chosen by ids and hashes alone: no task gathers texts. It has at most sample_rows rows of two numbers.
     rows = rows.where("i is not null").withColumn("th", F.xxhash64("t"))
     chosen = rows.select("i", "th").orderBy(F.xxhash64("i"), "i", "th").limit(sample_rows)
     sample = rows.join(F.broadcast(chosen), ["i", "th"], "left_semi").dropDuplicates(["i", "th"])
-    word = F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1)).alias("word")
-    counted = sample.select("lang", word).where("length(word) <= 40").groupBy("lang", "word").count()
-    ranked = cut(counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= words_per_language))
-    found = ranked.select("lang", "word", "count").collect()  # at most words_per_language for each language
+    counted = sample.select("lang", "t").mapInArrow(in_worker(_counted), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = counted.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])  # the words of the sample
     vocabulary = Vocabulary.of(vocabulary_path)
-    languages = tuple(sorted({r[0] for r in found}))
+    of = np.array(found.column("lang").to_pylist(), object)
+    languages = tuple(dict.fromkeys(of))
     p, totals = np.zeros((vocabulary.size, len(languages))), np.zeros(len(languages))
     for k, language in enumerate(languages):
-        words = [(r[1], r[2]) for r in found if r[0] == language]
-        counts = np.array([c for _, c in words], float)
+        own = found.filter(pa.array(of == language))
+        words, counts = own.column("word").to_pylist(), own.column("n").to_numpy().astype(float)
         totals[k] = counts.sum()
-        sizes = np.array([len(w) + 1 for w, _ in words])
-        groups = [(vocabulary.lattice([words[i][0] for i in rows], width), sizes[rows], counts[rows]) for rows, width in _groups(sizes)]
+        sizes = np.array([len(w) + 1 for w in words])
+        groups = [(rows, width) for rows, width in _groups(sizes)]
         now = np.full(vocabulary.size, 1 / vocabulary.size)
         for _ in range(rounds):
             now[0], now[-1] = 0, RARE
-            expected = sum(_expected(lattice, now, size, count) for lattice, size, count in groups) + 0.05
+            # the lattices are made anew in each round: one of them is in memory at a time
+            expected = sum(_expected(vocabulary.lattice([words[i] for i in rows], width), now, sizes[rows], counts[rows]) for rows, width in groups) + 0.05
             expected[0] = expected[-1] = 0
             now = expected / expected.sum()
         now[0], now[-1] = 0, RARE
@@ -209,7 +244,7 @@ class Scorer:
             self.at, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
         new = [s for s in different if s not in self.at]
         if new:
-            runs = [LETTERS.findall(s.lower()) for s in new]
+            runs = [words_of(s) for s in new]
             words = list({w for r in runs for w in r})
             of = dict(zip(words, range(len(words))))
             scores, flat = self.model.words(words), np.array([of[w] for r in runs for w in r], np.int64)
@@ -240,11 +275,11 @@ def _parts(text: str):
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, lang_pred, score (the posterior probability of the prediction, 0 to 1).
 
-    A text without a letter, empty or null, is `und` with score 0; so is every text if the model has no language. Ties go to
+    Letters are Unicode's (category L). A text without a letter, empty or null, is `und` with score 0; so is every text if the model has no language. Ties go to
     the language first in the alphabet. Repeated rows and null ids are returned like any other. An empty table gives an
     empty result. Other columns are ignored.
     """
-    return keyed_texts(docs, id_col, text_col).mapInArrow(_predict(model, 0, 1, ["doc_id", "lang_pred", "score"]), "doc_id bigint, lang_pred string, score double")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(in_worker(_predict(model, 0, 1, ["doc_id", "lang_pred", "score"]), Scorer), "doc_id bigint, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
@@ -253,7 +288,7 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text", least_scor
     The rows pass through the prediction, so no join or shuffle is needed.
     """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.mapInArrow(_predict(model, 0, 1, ["row", "lang_pred", "score"]), f"row {docs.schema.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(in_worker(_predict(model, 0, 1, ["row", "lang_pred", "score"]), Scorer), f"row {docs.schema.simpleString()}, lang_pred string, score double")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
 
 

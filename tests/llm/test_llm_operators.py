@@ -351,38 +351,68 @@ def test_language(spark, docs, empty):
     model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), PIECES)
     assert model.languages == ("de", "en")
     tests = [("Das Haus und die Straße", "de"), ("The house, and the street.", "en"), ("", "und"), (None, "und"), ("12 + 3 !", "und"), ("straße" * 800, "de")]
+    tests += [(t, "und") for t in ("½ 12", "x² ①"[1:], "Ⅳ ⅷ", "_ 3_4", "٣٤", "́")] + [("½haus", "de")]  # number signs, digits of any script and marks are no letters
     df = spark.createDataFrame([(i, t, "zz") for i, (t, _) in enumerate(tests)], "doc_id bigint, text string, lang_pred string")
     got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
     assert [got[i].lang_pred for i in range(len(tests))] == [w for _, w in tests] and all(0 <= r.score <= 1 for r in got.values())
-    assert as_rows(language_id.recognised(df, model), "doc_id", "lang_pred") == [(0, "zz"), (1, "zz"), (5, "zz")]
+    assert as_rows(language_id.recognised(df, model), "doc_id", "lang_pred") == [(0, "zz"), (1, "zz"), (12, "zz"), (5, "zz")]
     assert language_id.predict(docs, model).count() == len(ROWS) and language_id.predict(empty, model).count() == 0
     none = language_id.train(spark.createDataFrame([], "doc_id bigint, text string, lang string"), PIECES)
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def cuts(v, word):
+    """Every way to cut a word into pieces, as ids."""
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        i = v.ids.get(word[:n]) or (v.rare if n == 1 else 0)
+        if i:
+            for rest in cuts(v, word[n:]):
+                yield (i, *rest)
+
+
 def test_all_segmentations_count():
-    """The forward pass equals the sum over every way to cut a word, written out."""
+    """Forward and backward passes equal the sums over every way to cut a word, written out."""
     v = language_id.Vocabulary.of(PIECES)
+    assert {"▁international", "▁relationship"} <= set(v.ids)  # long pieces too
     rng = np.random.default_rng(1)
     p = rng.random((v.size, 2)) / 50
     p[0], p[-1] = 0, language_id.RARE
     model = language_id.Model(PIECES, ("a", "b"), p, np.zeros(2))
-
-    def total(word, k):
-        if not word:
-            return 1.0
-        out = 0.0
-        for n in range(1, min(len(word), language_id.PIECE_CHARS) + 1):
-            piece = word[:n]
-            if piece in v.ids:
-                out += p[v.ids[piece], k] * total(word[n:], k)
-            elif n == 1:
-                out += language_id.RARE * total(word[1:], k)
-        return out
-
-    words = ["a", "the", "straße", "information", "ñandú", "一b"]
-    got = model.words(words)
-    assert np.allclose(got, [[np.log(total("▁" + w, k)) for k in (0, 1)] for w in words])
+    words = ["a", "the", "straße", "information", "international", "ñandú", "一b"]
+    totals = [[sum(np.prod(p[list(c), k]) for c in cuts(v, "▁" + w)) for k in (0, 1)] for w in words]
+    assert np.allclose(model.words(words), np.log(totals))
+    for w, total in zip(words, totals):
+        want = np.zeros(v.size)
+        for c in cuts(v, "▁" + w):
+            np.add.at(want, list(c), 3 * np.prod(p[list(c), 0]) / total[0])
+        assert np.allclose(language_id._expected(v.lattice([w, "x"], 32), p[:, 0], np.array([len(w) + 1, 2]), np.array([3.0, 0.0])), want)
+    long = language_id._expected(v.lattice(["straße" * 300], 2048), p[:, 0] / 1e3, np.array([1801]), np.array([1.0]))
+    assert np.isclose((long * v.lengths).sum(), 1801)  # each cut has as many characters as the word
+
+
+def test_language_learns_from_all_words(spark):
+    """Rare and long words of the sample count: the model equals one learned here from the same words."""
+    long = "donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    rows = [(i, f"wort{chr(97 + i % 26)} {long} und ½ {i}", "de") for i in range(30)] + [(i, "the house", "en") for i in range(30, 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got, v = language_id.train(df, PIECES, rounds=2), language_id.Vocabulary.of(PIECES)
+    counts = {}
+    for _, t, g in rows:
+        for w in re.findall(r"[^\W\d_½]+", t.lower()):
+            counts.setdefault(g, {}).setdefault(w, []).append(1)
+    assert got.languages == ("de", "en")
+    for k, g in enumerate(got.languages):
+        now = np.full(v.size, 1 / v.size)
+        for _ in range(2):
+            now[0], now[-1] = 0, language_id.RARE
+            expected = np.full(v.size, 0.05)
+            for w, n in counts[g].items():
+                expected += language_id._expected(v.lattice([w], len(w) + 1), now, np.array([len(w) + 1]), np.array([float(len(n))]))
+            expected[0] = expected[-1] = 0
+            now = expected / expected.sum()
+        assert np.allclose(got.p[1:-1, k], now[1:-1])
 
 
 def test_quality(spark, docs, empty):
