@@ -133,29 +133,70 @@ def test_exact_duplicates(docs, empty):
     for r, t in zip(ROWS, norm):
         keep = min((i for i in groups[t] if i is not None), default=None)
         want.append((r[0], keep, len(groups[t]), r[0] == keep, hashlib.sha256(t.encode()).hexdigest()))
-    for size in (4 << 20, 2000):
-        assert as_rows(exact_dedup.duplicates(docs, bucket_bytes=size), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
+    few_bits = lambda t: F.shiftrightunsigned(F.xxhash64(t), 61)  # noqa: E731  chains of many different texts
+    for options in ({}, {"bucket_bytes": 2000}, {"bucket_bytes": 2000, "key": few_bits}):
+        assert as_rows(exact_dedup.duplicates(docs, **options), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
     assert exact_dedup.duplicates(empty).count() == 0
 
 
-def test_directory():
+def test_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_LEAST", 20)
+    texts = ["hot  text", "hot text", "other", None] * 30 + [f"text {i}" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r for r in exact_dedup.duplicates(df).collect()}
+    assert [(got[i].keep_id, got[i].group_size) for i in range(4)] == [(0, 60), (0, 60), (2, 30), (3, 30)] and sum(r.kept for r in got.values()) == 53 and len(got) == len(texts)
+
+
+def test_directory_doubles():
+    """Against buckets found by splitting key by key: the directory doubles as often as an overfull bucket has all its bits."""
     rng = random.Random(1)
-    sizes = {rng.randrange(1 << 10): rng.randrange(1, 100) for _ in range(400)}
-    d = exact_dedup.Directory.build(sizes, 10, 500)
-    ends = np.append(d.starts[1:], 1 << 10)
-    for s, e, depth in zip(d.starts, ends, d.depths):
-        assert e - s == 1 << (10 - depth) and (sum(v for k, v in sizes.items() if s <= k < e) <= 500 or depth == 10)
-    keys = np.array([0, -1, 1 << 62, -(1 << 63)], np.int64)
-    assert [int(d.starts[b]) <= (int(k) % 2**64) >> 54 < int(ends[b]) for k, b in zip(keys, d.bucket(keys))] == [True] * 4
+    keys = {rng.getrandbits(64): rng.randrange(1, 100) for _ in range(300)} | {(0xABCDEF << 40) + i: 60 for i in range(40)} | {5: 9000}
+    rounds = []
+
+    def histogram(over, depth, bits):
+        rounds.append((depth, bits))
+        out = {}
+        for k, size in keys.items():
+            if k >> (64 - depth) in over:
+                b, n = out.get(k >> (64 - depth - bits), (0, 0))
+                out[k >> (64 - depth - bits)] = (b + size, n + 1)
+        return out
+
+    def split(members, start, depth):
+        if sum(keys[k] for k in members) <= 500 or len(members) <= 1:
+            return [(start, depth)]
+        half = start | 1 << (63 - depth)
+        return split([k for k in members if k < half], start, depth + 1) + split([k for k in members if k >= half], half, depth + 1)
+
+    d = exact_dedup.Directory.grown(histogram, sum(keys.values()), 500)
+    assert list(zip(d.starts.tolist(), d.depths.tolist())) == split(list(keys), 0, 0)
+    assert d.depth > 55 and len(rounds) > 3  # keys with 58 bits in common: no bound on the depth
+    at = dict(zip(keys, d.bucket(np.array(list(keys), np.uint64).view(np.int64)).tolist()))
+    ends = [*d.starts[1:].tolist(), 1 << 64]
+    assert all(d.starts[b] <= k < ends[b] for k, b in at.items()) and exact_dedup.Directory.grown(histogram, 0, 500).starts.tolist() == [0]
+
+
+def test_index_reopened(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    built = exact_dedup.build_index(docs, path, bucket_bytes=2000)
+    index = exact_dedup.Index.open(spark, path)
+    assert (index.directory.starts == built.directory.starts).all() and index.directory.depth >= 4
+    buckets = {r.bucket for r in index.classes.collect()}
+    assert len(buckets) > 8
+    want = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.duplicates(docs).where("doc_id is not null").collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in index.probe(docs).where("doc_id is not null").collect()}
+    assert got == want
+    new = spark.createDataFrame([(1, "no such text"), (2, "a\t\nb"), (3, None)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.keep_id) for r in index.probe(new).orderBy("doc_id").collect()] == [(1, None), (2, want[69][0]), (3, want[64][0])]
 
 
 def test_collision_chain():
     import pyarrow as pa
 
-    rows = [(0, 5, b"b", 3, 1), (0, 5, b"a", 9, 2), (0, 5, b"b", 1, 4), (0, 6, b"a", None, 1), (0, 6, b"a", 2, 1)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "key", "text", "least_id", "rows"])
+    rows = [(0, 0, 5, b"b", 3, 1), (0, 0, 5, b"a", 9, 2), (0, 0, 5, b"b", 1, 4), (0, 0, 6, b"a", None, 1), (0, 0, 6, b"a", 2, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["owner", "bucket", "key", "text", "least_id", "rows"])
     got = [r for b in exact_dedup._own(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
-    assert [(r["key"], r["chain"], r["keep_id"], r["group_size"]) for r in got] == [(5, 0, 1, 5), (5, 1, 9, 2), (6, 0, 2, 2)]
+    assert [(r["key"], r["chain"], r["chains"], r["keep_id"], r["group_size"]) for r in got] == [(5, 0, 2, 1, 5), (5, 1, 2, 9, 2), (6, 0, 1, 2, 2)]
 
 
 # ---- tokens: packing, files, counts, byte-level BPE
