@@ -10,15 +10,20 @@ An item's vector depends on its length only, and bins with equal contents are
 interchangeable. So the packing is planned on the histogram of lengths, of at most
 `capacity` entries whatever the input is: a step places as many items of one length as
 there are equal bins, and the plan says for each length which ranks go to which bins. The
-items are then numbered within their length (counts for each task and length, a running
-sum of these, and the rank within the task) and look up their place. Neither the items nor
-the bins are ever in one place, and no shuffle carries texts or ids.
+items (rows of a few numbers, without texts or ids) are then dealt to ranges of lengths,
+and within a length of hashes, so that a frequent length is many tasks' work. Each task
+numbers its items of a length from the number that the ranges before it hold; there are at
+most as many such numbers as lengths and tasks together, and those are broadcast. Neither
+the items nor the bins are ever in one place.
+
+`tightest` gives the least capacity of documents, of some powers of two, at which the plan
+needs no more bins than without one, so that it binds and costs nothing.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, stored
+from .common import in_worker, keyed_texts, parallelism, stored
 from .word_tokens import WordEncoder, encoded
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a bin and the weights of the score. The defaults of documents and attention bind only if set lower."""
+    """Capacities of a bin and the weights of the score.
+
+    Without a capacity of its own, a bin has as many documents as tokens and an attention cost of the square of the tokens,
+    which no content exceeds: they do not bind, but what is left of them counts in the choice of a bin.
+    """
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
     score: str = "norm"
 
     def capacity(self) -> np.ndarray:
@@ -95,14 +104,38 @@ def plan(histogram: dict[int, int], limits: Limits) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
+#: Capacities of documents that `tightest` tries.
+DOCUMENTS = tuple(1 << k for k in range(1, 11))
+
+
+def bins(steps: np.ndarray) -> int:
+    return int((steps[:, 2] + steps[:, 4]).max(initial=0))
+
+
+def tightest(histogram: dict[int, int], limits: Limits) -> tuple[Limits, np.ndarray]:
+    """limits with the least capacity of documents that costs no bin, found by halving, and the plan. A capacity that is set stays."""
+    steps = plan(histogram, limits)
+    if limits.documents:
+        return limits, steps
+    least, low, high = bins(steps), 0, len(DOCUMENTS)
+    while low < high:
+        middle = (low + high) // 2
+        tried = replace(limits, documents=DOCUMENTS[middle])
+        found = plan(histogram, tried)
+        if bins(found) <= least:
+            limits, steps, high = tried, found, middle
+        else:
+            low = middle + 1
+    return limits, steps
+
+
 def _pieces(path: str, end_id: int, size: int):
-    """The pieces of each document: (task, doc_id, piece, start, length, ids_crc32, in_task): the rank within task and length."""
-    names = ["task", "doc_id", "piece", "start", "length", "ids_crc32", "in_task"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """The pieces of each document."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        encoder, task = WordEncoder.of(path), TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
+        encoder = WordEncoder.of(path)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids_of, out = batch.column(0).to_pylist(), []
@@ -110,16 +143,29 @@ def _pieces(path: str, end_id: int, size: int):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    n = len(part) // 4
-                    rank = seen.get(n, 0)
-                    seen[n] = rank + 1
-                    out.append((task, ids_of[row], piece, at // 4, n, zlib.crc32(part), rank))
+                    out.append((ids_of[row], piece, at // 4, len(part) // 4, zlib.crc32(part)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
 
+def _numbered(batches):
+    """Adds the task and the rank among the task's pieces of the same length; these come sorted by length."""
+    task, last, n = TaskContext.get().partitionId(), -1, 0
+    for batch in batches:
+        length = batch.column("length").to_numpy()
+        if not len(length):
+            continue
+        rows = np.arange(len(length))
+        first = np.flatnonzero(np.append(True, length[1:] != length[:-1]))
+        rank = rows - np.repeat(first, np.diff(np.append(first, len(rows))))
+        rank[length == last] += n
+        last = length[-1]
+        n = rank[-1] + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(rows), task)), pa.array(rank)], [*batch.schema.names, "task", "in_task"])
+
+
 def _place(steps: np.ndarray):
     """Adds sequence_id and offset to (length, rank)."""
     base = steps[:, 0] << 40 | steps[:, 1]
@@ -141,20 +187,19 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     A null or empty text is its end id alone, a piece of one token. Only documents longer than a sequence are cut, into whole
     sequences and a rest. Rows with a null id and repeated rows are packed like any other. An empty table gives an empty
     result. Other columns are ignored. Sequences are numbered from 0 without gaps; each is filled from offset 0 on.
+    Without a capacity of documents in limits, `tightest` sets one.
     """
     spark, size = docs.sparkSession, limits.tokens
     if limits.attention:  # a piece must fit alone
         size = min(size, int(limits.attention**0.5))
-    schema = "task bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, in_task bigint"
-    pieces = stored(keyed_texts(docs, id_col, text_col).mapInArrow(_pieces(tokenizer_path, end_id, size), schema), "pieces")
-    # how many pieces of a length the tasks before have
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = stored(
-        by_task.selectExpr("length", "task", "n", "sum(n) over (partition by length order by task rows unbounded preceding) - n as before"), "before"
-    )
-    histogram = {r[0]: r[1] for r in before.groupBy("length").agg(F.sum("n")).collect()}  # at most one row for each length
-    steps = plan(histogram, limits)
-    ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("in_task")).alias("rank")
-    )
-    return ranked.mapInArrow(_place(steps), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+    pieces = stored(keyed_texts(docs, id_col, text_col).mapInArrow(in_worker(_pieces(tokenizer_path, end_id, size), WordEncoder), schema), "pieces")
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most one row for each length
+    steps = tightest(histogram, limits)[1]
+    dealt = pieces.repartitionByRange(parallelism(spark), "length", F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("length")
+    ranked = stored(dealt.mapInArrow(_numbered, schema + ", task bigint, in_task bigint"), "ranked-pieces")
+    by_task = ranked.groupBy("length", "task").agg(F.count("*").alias("n"))
+    # ranges: a task shares no more than its first and last length with others
+    before = by_task.selectExpr("length", "task", "sum(n) over (partition by length order by task rows unbounded preceding) - n as before")
+    placed = ranked.join(F.broadcast(before), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("in_task")).alias("rank"))
+    return placed.mapInArrow(_place(steps), schema + ", sequence_id bigint, offset bigint")

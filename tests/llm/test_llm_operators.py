@@ -254,6 +254,40 @@ def test_plan_is_best_fit():
         packing.plan({200: 1}, packing.Limits(tokens=100))
 
 
+def test_the_vector_decides():
+    """Bin 0 has 224 tokens left and one document, bin 1 has 234 and two: an item of 100 goes to 0 by tokens, to 1 by documents."""
+    histogram = {800: 1, 400: 1, 390: 1, 100: 1}
+    by_tokens = packing.plan(histogram, packing.Limits(tokens=1024, documents=4, weights=(1, 0, 0)))
+    by_vector = packing.plan(histogram, packing.Limits(tokens=1024, documents=4, weights=(0.01, 1, 0.01)))
+    assert [int(r[2]) for r in by_tokens if r[0] == 100] == [0] and [int(r[2]) for r in by_vector if r[0] == 100] == [1]
+    by_dot = packing.plan(histogram, packing.Limits(tokens=1024, documents=4, weights=(0, 1, 0), score="dot"))
+    assert [int(r[2]) for r in by_dot if r[0] == 100] == [0]  # the dot product takes the bin with most left
+    rng = random.Random(4)
+    lengths = [min(100, int(rng.paretovariate(0.8))) for _ in range(2000)]
+    many = {n: lengths.count(n) for n in set(lengths)}
+    plans = [packing.plan(many, packing.Limits(tokens=100, weights=w)) for w in ((1, 0, 0), packing.Limits().weights)]
+    assert plans[0].tolist() != plans[1].tolist() and packing.bins(plans[0]) == packing.bins(plans[1])
+
+
+def test_tightest_documents():
+    """The capacity binds and costs no bin; half of it would."""
+    rng = random.Random(6)
+    lengths = [rng.choice((1, 2, 3, 5, 60, 97)) for _ in range(4000)]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    free = packing.plan(histogram, packing.Limits(tokens=100, documents=100))
+    limits, steps = packing.tightest(histogram, packing.Limits(tokens=100))
+
+    def most(steps):
+        held = {}
+        for _, _, first, _, n in steps.tolist():
+            for b in range(first, first + n):
+                held[b] = held.get(b, 0) + 1
+        return max(held.values())
+
+    assert packing.bins(steps) == packing.bins(free) and most(steps) <= limits.documents < most(free)
+    assert packing.bins(packing.plan(histogram, packing.Limits(tokens=100, documents=limits.documents // 2))) > packing.bins(free)
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     order = sorted(range(len(ROWS)), key=lambda i: (ROWS[i][0] is not None, ROWS[i][0] or 0))
     for block in (64, 2048):
