@@ -410,7 +410,7 @@ def test_maxscore_skips():
     ids = np.arange(6000)
     blocks = [maxscore._Block(ids[a : a + 2048], x[a : a + 2048]) for a in range(0, 6000, 2048)]
     for q in x[:40]:
-        got, scores = maxscore._search(blocks, -1, q, 10)
+        _, got, scores = maxscore._search(blocks, np.array([-1]), q[None, :], np.array([-(1 << 62)]), 10)
         full = x @ q
         want = np.lexsort((ids, -full))[:10]
         assert (got == want).all() and (scores == full[want]).all()
