@@ -3,9 +3,16 @@
 A text is cut into words by the tokenizer's pattern; words don't influence each other, so
 each different word of a partition is encoded once and kept in a bounded cache. Words are
 encoded many at a time by one recursive query: its rows are the tokens of all words, with
-their positions; a step joins neighbouring tokens with the merge table, takes each word's
-pair of least rank (the leftmost of equals), and contracts it; words without such a pair
-leave the recursion. Decoding joins ids with the vocabulary and aggregates in order.
+their positions and those of the tokens that follow; a step joins tokens with their
+successors and with the merge table, takes each word's pair of least rank (the leftmost of
+equals), and contracts it; words without such a pair leave the recursion. Decoding joins
+ids with the vocabulary and aggregates by position.
+
+Words over `LONG` bytes take a second query that contracts all pairs of least rank of a
+word in a step, from the left where they overlap. That is the same as one after another
+as long as no new token makes a pair of a lower rank with a neighbour; the step ends with
+the first that does. A long word so takes about as many steps as it has different ranks,
+not as it has merges.
 
 Every connection has one thread and bounded memory, and belongs to its Python worker;
 nothing is written to disk.
@@ -20,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed_texts
+from .common import in_worker, keyed_texts
 
 #: Entries of the younger half of the cache; the older half has as many at most.
 CACHE_ENTRIES = 400_000
@@ -31,31 +38,50 @@ QUERY_ROWS = 2_000_000
 #: Ids that are decoded at once.
 DECODE_IDS = 500_000
 
-#: s: word, position, token, next position, whether the word is done. Steps keep the rows in the order of words and
-#: positions (one thread, streaming windows); a row whose successor is not the next row stops the query.
+#: Words over this size take the second query.
+LONG = 64
+
+#: s: place (word and position in one number), word, token, place of the next token, whether the word is done.
 ENCODE = """
-WITH RECURSIVE s(w, p, t, np, done, step) AS (
-    SELECT w, p, t, np, false, 0 FROM start
+WITH RECURSIVE s(k, w, t, nk, done, step) AS (
+    SELECT (w::BIGINT << 32) | p, w, t, (w::BIGINT << 32) | np, false, 0 FROM start
   UNION ALL (
-    WITH near AS (
-        SELECT w, p, t, np, step, lead(t) OVER () AS nt, lead(p) OVER () AS lp, lead(np) OVER () AS nnp, lag(p) OVER () AS pp
-        FROM s WHERE NOT done AND step < {steps}),
+    WITH live AS (SELECT * FROM s WHERE NOT done AND step < {steps}),
     ranked AS (
-        SELECT near.*, (m.r::BIGINT << 32) | near.p AS k
-        FROM near LEFT JOIN merges m
-        ON m.pair = CASE WHEN np IS NULL THEN -1 WHEN np = lp THEN (near.t::BIGINT << 32) | near.nt ELSE error('rows out of order')::BIGINT END),
-    best AS (SELECT w, (min(k) & 4294967295)::INT AS bp, (min(k) >> 32)::INT AS br FROM ranked GROUP BY w)
-    SELECT r.w, r.p, CASE WHEN r.p = bp THEN br ELSE t END, CASE WHEN r.p = bp THEN nnp ELSE np END, bp IS NULL, step + 1
-    FROM ranked r JOIN best b ON r.w = b.w
-    WHERE bp IS NULL OR r.p = 0 OR pp IS DISTINCT FROM bp))
-SELECT w, p, t, np, done FROM s WHERE done OR step = {steps} ORDER BY w, p
+        SELECT a.k, a.w, a.t, a.nk, a.step, n.nk AS nnk, (m.r::BIGINT << 32) | (a.k & 4294967295) AS o
+        FROM live a LEFT JOIN live n ON a.nk = n.k LEFT JOIN merges m ON m.pair = ((a.t::BIGINT << 32) | n.t)),
+    best AS (SELECT w, min(o) AS o, (min(o) >> 32)::INT AS br, arg_min(nk, o) AS gone FROM ranked GROUP BY w)
+    SELECT r.k, r.w, CASE WHEN r.o = b.o THEN br ELSE t END, CASE WHEN r.o = b.o THEN nnk ELSE nk END, b.o IS NULL, step + 1
+    FROM ranked r JOIN best b ON r.w = b.w WHERE b.gone IS DISTINCT FROM r.k))
+SELECT w, (k & 4294967295)::INT AS p, t, done FROM s WHERE done OR step = {steps} ORDER BY w, p
 """
 
-DECODE = """
-SELECT doc, unhex(string_agg(hex, '')) AS bytes
-FROM (SELECT doc, hex FROM ids JOIN vocabulary USING (id) ORDER BY doc, p) GROUP BY doc ORDER BY doc
+#: The same for long words. place: 1, 2, ... in a run of neighbouring pairs of least rank, of which every second one is contracted; then
+#: no pair after (by position) the first whose new token makes a pair of a lower rank with its neighbours.
+ENCODE_LONG = """
+WITH RECURSIVE s(w, p, t, done, step) AS (
+    SELECT w, p, t, false, 0 FROM start
+  UNION ALL (
+    WITH near AS (
+        SELECT w, p, t, step, lead(t) OVER x AS nt, lead(t, 2) OVER x AS nnt, lag(t) OVER x AS pt, row_number() OVER x AS n FROM s WHERE NOT done AND step < {steps}
+        WINDOW x AS (PARTITION BY w ORDER BY p)),
+    ranked AS (
+        SELECT near.*, m.r, m.alone FROM near LEFT JOIN merges m ON m.pair = ((near.t::BIGINT << 32) | near.nt)),
+    best AS (SELECT w, min(r) AS br FROM ranked GROUP BY w),
+    hit AS (SELECT r.*, b.br, coalesce(r.r = b.br, false) AS h FROM ranked r JOIN best b ON r.w = b.w),
+    runs AS (
+        SELECT *, h AND (n - max(CASE WHEN h THEN 0 ELSE n END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING)) % 2 = 1 AS joins FROM hit),
+    kept AS (SELECT *, lag(joins) OVER x AS gone, lag(joins, 2) OVER x AS beside, lag(p) OVER x AS lag_p FROM runs WINDOW x AS (PARTITION BY w ORDER BY p)),
+    lower AS (
+        SELECT k.w, min(k.p) AS lp FROM kept k LEFT JOIN merges a ON a.pair = ((CASE WHEN beside THEN k.br ELSE k.pt END)::BIGINT << 32) | k.br
+        LEFT JOIN merges b ON b.pair = ((k.br::BIGINT << 32) | k.nnt) WHERE k.joins AND k.alone AND (a.r < k.br OR b.r < k.br) GROUP BY k.w)
+    SELECT k.w, p, CASE WHEN joins AND (lp IS NULL OR p <= lp) THEN br ELSE t END, br IS NULL, step + 1
+    FROM kept k LEFT JOIN lower l ON k.w = l.w WHERE gone IS NOT TRUE OR (lp IS NOT NULL AND p > lp AND lag_p > lp)))
+SELECT w, p, t, done FROM s WHERE done OR step = {steps} ORDER BY w, p
 """
 
+DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc"
+
 
 class Codec:
     _kept: dict[tuple[str, str], Codec] = {}
@@ -76,7 +102,12 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        merges = pa.table({"pair": np.array(left, np.int64) << 32 | np.array(right, np.int64), "r": np.array(rank, np.int32)})
+        left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
+        # the least rank of the pairs that each token is in; a token with a lower one than its own is contracted alone
+        least = np.full(int(max(ranks.values())) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, left, rank)
+        np.minimum.at(least, right, rank)
+        merges = pa.table({"pair": left << 32 | right, "r": rank.astype(np.int32), "alone": least[rank] < rank})
         vocabulary = pa.table({"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
@@ -98,35 +129,39 @@ class Codec:
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
         part: list[int] = []
         rows = 0
-        for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist()
+        for i in order:
             size = len(words[i])
-            if part and rows + size * min(size, 40) > QUERY_ROWS:
+            made = size * min(size, 40)  # about as many rows as the recursion makes of it
+            if part and (rows + made > QUERY_ROWS or len(words[part[-1]]) <= LONG < size):
                 self._query(words, part, out)
                 part, rows = [], 0
             part.append(i)
-            rows += size * min(size, 40)
+            rows += made
         if part:
             self._query(words, part, out)
         return out
 
     def _query(self, words: list[bytes], part: list[int], out: list[np.ndarray]) -> None:
+        long = len(words[part[-1]]) > LONG
         flat = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
-        size = np.array([len(words[i]) for i in part])
+        size = np.fromiter((len(words[i]) for i in part), np.int64, len(part))
         w, end = np.repeat(np.arange(len(part)), size), np.cumsum(size)
         p, t = np.arange(len(flat)) - np.repeat(end - size, size), self.byte_ids[flat]
         while len(w):
-            last = np.append(w[1:] != w[:-1], True)
-            following = np.append(p[1:], 0)
-            start = pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32()), "np": pa.array(following, pa.int32(), mask=last)})
-            self.db.register("start", start)
-            steps = max(8, QUERY_ROWS // len(w)) if len(w) < QUERY_ROWS else 8  # bounds the rows; what isn't done goes on
-            got = self.db.sql(ENCODE.format(steps=steps)).to_arrow_table()
+            start = {"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}
+            if not long:
+                start["np"] = pa.array(np.append(p[1:], 0), pa.int32(), mask=np.append(w[1:] != w[:-1], True))
+            self.db.register("start", pa.table(start))
+            # bounds the rows that are held; what isn't done goes on
+            steps = max(2, QUERY_ROWS // len(w))
+            got = self.db.sql((ENCODE_LONG if long else ENCODE).format(steps=steps)).to_arrow_table()
             self.db.unregister("start")
             w, p, t, done = (got.column(n).to_numpy() for n in ("w", "p", "t", "done"))
             edge = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.empty(0, np.int64)
-            for a, b in zip(edge.tolist(), np.append(edge[1:], len(w)).tolist()):
-                if done[a]:
-                    out[part[w[a]]] = t[a:b]
+            ended = done[edge]
+            for i, a, b in zip(w[edge[ended]].tolist(), edge[ended].tolist(), np.append(edge[1:], len(w))[ended].tolist()):
+                out[part[i]] = t[a:b]
             w, p, t = w[~done], p[~done], t[~done]
 
     def _learn(self, pieces: set[str]) -> None:
@@ -139,7 +174,8 @@ class Codec:
             if ids is not None:
                 self.young[piece] = ids
             else:
-                cut[piece] = self.find(" " + piece)
+                # letters after a space are one word
+                cut[piece] = [" " + piece] if piece.isascii() and piece.isalpha() else self.find(" " + piece)
         words = list({w for found in cut.values() for w in found})
         ids = {w: " ".join(map(str, i.tolist())) for w, i in zip(words, self.encode_words([w.encode() for w in words]))}
         for piece, found in cut.items():
@@ -206,7 +242,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """One row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no ids. Null ids and repeated rows are returned like any other. An empty table gives an
-    empty result. Other columns are ignored. No text is cut short.
+    empty result. Other columns are ignored. No text is cut short. A word of millions of letters without a break takes a
+    step for each different rank that it merges by, and memory in proportion to its length: some hundred bytes a letter.
     """
     return _run(docs, ranks_path, pattern, id_col, text_col, digests=True)
 
@@ -249,4 +286,4 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
                 yield work(doc_ids, texts)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "doc_id bigint, ids array<int>, decoded binary"
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(in_worker(run, Codec), schema)

@@ -360,6 +360,23 @@ def test_byte_bpe_texts(monkeypatch):
     assert all("".join(bpe._parts(t)) == t for t in texts)
 
 
+def test_byte_bpe_long_words():
+    """Words without a break, of up to 200,000 letters; overlapping and repeated pairs; every long word also by the query for short ones."""
+    rng = random.Random(8)
+    glued = lambda n: "".join(rng.choice(("the", "house", "and", "relation", "ship", "national", "ing", "z", "über")) for _ in range(n))
+    codec = bpe.Codec(BYTE_RANKS, public_tokenizers.PATTERN)
+    words = ["=" * 5000, "a" * 4999, "ab" * 700, "aab" * 500, "straße" * 1000, glued(2000), "".join(rng.choice("abcdefgh") for _ in range(5000)), "你好" * 400]
+    words += ["".join(rng.choice("aab") for _ in range(n)) for n in range(60, 120)]
+    got = codec.encode_words([w.encode() for w in words])
+    assert [g.tolist() for g in got] == [byte_encoding().encode_ordinary(w) for w in words]
+    long = glued(48000)
+    assert len(long) > 200_000
+    ids = codec.encode([long])[0]
+    assert codec.decode([bpe._numbers(ids)]) == [long.encode()]
+    half = long[:20000]
+    assert codec.encode([half])[0] == " ".join(map(str, byte_encoding().encode_ordinary(half)))
+
+
 def test_token_counts(docs, empty):
     n = [len(byte_encoding().encode_ordinary(text_of(r))) for r in ROWS]
     totals = token_counts.token_counts(docs, BYTE_RANKS, public_tokenizers.PATTERN).cache()
