@@ -12,17 +12,26 @@ information,
 with document counts df and co over the whole corpus. It is near 1 when t occurs with e
 only. Most values occur in one text, so pairs that occur once count too; `a` documents of
 no information (`prior`) hold their estimate below that of pairs that repeat. Terms at or
-over `generalise_at` are replaced by a placeholder, terms at or over `remove_at` are
-removed. That holds for the `window` terms next to the entity on either side, however far
-off they are, if the pair occurs in `least_texts` different texts; anywhere in the
-entity's documents, if it occurs in `far_texts` different ones.
+over `remove_at` are removed. Terms at or over `generalise_at` are replaced by a broader
+class: the words with the same beginning, written as that with a star. It is the longest
+beginning that is no longer disclosing, for which some word with it must occur in so many
+documents that a term of that frequency would stay below `generalise_at` even if all the
+entity's documents had it. A term without such a class is removed.
+
+Judged are the `window` terms next to the entity on either side, however far off they
+are, if the pair occurs in `least_texts` different texts, and all terms of the entity's
+documents that occur with it in `far_texts` different ones. What is decided for a term
+holds for the whole document, wherever the term stands in it.
 
 Everything is column expressions and joins; no Python runs on the executors. Patterns are
 written with possessive quantifiers, so they neither backtrack nor recurse on long texts.
+Positions are summed up in blocks of matches, so that a text with many takes no time in
+proportion to their square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,8 +54,11 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-PLACEHOLDER = {kind: f"[{kind.upper()}]" for kind in (*KINDS, ADDED)}
+PLACEHOLDER = {kind: f"[{kind.upper()}]" for kind in KINDS}
 TERM = r"\p{L}{3,}"
+SPAN = "struct<kind:string,start:int,end:int,value:string,to:string>"
+#: Matches whose positions are summed up together.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -84,18 +96,38 @@ def _found(text: Column, kind: str) -> Column:
     """The spans of a kind: array of (kind, start, end, value), in code points, from what the pattern matches and what it leaves between."""
     pattern = PATTERNS[kind]
     matches, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)").alias("out"))
+    # each match with its length and that of what stands before it
+    pairs = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), F.length(m).alias("size"), F.length(b).alias("before")))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("value"))
+        begin = acc["at"] + x["before"]
+        end = begin + x["size"]
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("value"), F.lit(PLACEHOLDER[kind]).alias("to"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def positions(blocks: Column, starts: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, F.struct(starts[i].alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    def starts(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["before"] + x["size"]))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+
+    # what follows the last match has no match of its own
+    spans = _let(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda p: _let(_blocks(p), lambda blocks: _let(starts(blocks), lambda at: positions(blocks, at))))
     need = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, F.lit(True))
-    return F.when(need & text.rlike(pattern), F.filter(spans, lambda s: _passes(kind, s["value"]))).otherwise(F.slice(start["out"], 1, 0))
+    return F.when(need & text.rlike(pattern), F.filter(spans, lambda s: _passes(kind, s["value"]))).otherwise(none)
+
+
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array that isn't empty, cut into arrays of BLOCK items."""
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,29 +155,40 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.lower(span["value"]))
 
 
-def _disclosing(docs_texts: DataFrame, some: DataFrame, limits: Thresholds) -> DataFrame:
-    """(entity, term, texts, disclosure) for pairs at or over the lower threshold. All counts are of documents."""
-    words = lambda: F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower)))
-    n = float(docs_texts.count())
-    # Documents of each word, combined before the shuffle.
-    counts = docs_texts.select(words().alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+def _words() -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))
+
+
+def _disclosing(some: DataFrame, counts: DataFrame, n: float, limits: Thresholds) -> DataFrame:
+    """(entity, term, texts, disclosure, needed) for pairs at or over the lower threshold. All counts are of documents. needed: a class in more documents discloses less."""
     of_doc = some.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     of_doc = of_doc.join(of_doc.groupBy("entity").agg(F.count("*").alias("df_e")), "entity")
-    terms = some.select("row", "h", words().alias("term")).join(counts, "term")
+    terms = some.select("row", "h", F.explode(_words()).alias("term")).join(counts, "term")
     # co is df_e at most; terms too frequent to reach the threshold even then make no pair
     most = F.pow("df_e", F.lit(limits.generalise_at)) * F.pow(F.lit(n), F.lit(1 - limits.generalise_at))
     pairs = of_doc.join(terms, "row").where((F.col("df_t") <= most + 1) & (F.col("df_e") < n))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("co"), F.countDistinct("h").alias("texts"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
     share = (F.col("co") + limits.prior * F.col("df_e") / F.lit(n)) / (F.col("df_t") + limits.prior)
     value = F.log(F.lit(n) * share / F.col("df_e")) / F.log(F.lit(n) / F.col("df_e"))
-    return pairs.select("entity", "term", "texts", value.alias("disclosure")).where((F.col("disclosure") >= limits.generalise_at) & (F.col("texts") >= limits.least_texts))
+    found = pairs.select("entity", "term", "texts", value.alias("disclosure"), (most + 1).alias("needed"))
+    return found.where((F.col("disclosure") >= limits.generalise_at) & (F.col("texts") >= limits.least_texts))
+
+
+def _generalised(flagged: DataFrame, counts: DataFrame, n: float, limits: Thresholds) -> DataFrame:
+    """(term, needed, to) of the terms that have a broader class: their longest beginning with which some word occurs in more than `needed` documents."""
+    beginnings = lambda most: F.explode(F.transform(F.sequence(F.lit(1), most), lambda k: F.left("term", k))).alias("begin")
+    frequent = counts.where(F.col("df_t") > n ** (1 - limits.generalise_at))  # a class needs no fewer
+    classes = frequent.select(beginnings(F.length("term")), "df_t").groupBy("begin").agg(F.max("df_t").alias("df"))
+    asked = flagged.where(F.col("disclosure") < limits.remove_at).select("term", "needed").distinct().select("term", "needed", beginnings(F.length("term") - 1))
+    met = asked.join(classes, "begin").where(F.col("df") > F.col("needed"))
+    return met.groupBy("term", "needed").agg(F.concat(F.max_by("begin", F.length("begin")), F.lit("*")).alias("to"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
-    """One row for each row of docs: doc_id, h (hash of the text), base and added, arrays of (kind, start, end, value).
+    """One row for each row of docs: doc_id, h (hash of the text), base and added, arrays of (kind, start, end, value, to).
 
     Starts and ends are code points, ends exclusive; base has the kinds in the order of KINDS, then by start; added has terms
-    by start, the value saying what happens: `generalise` or `remove`. A null text is empty. Null ids and repeated rows are
+    by start, the value saying what happens: `generalise` or `remove`. `to` is what replaces the span. A null text is empty. Null ids and repeated rows are
     returned like any other. An empty table gives an empty result. Other columns are ignored.
     """
     texts = _texts(docs, id_col, text_col)
@@ -156,16 +199,21 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     some = base.where(F.size("base") > 0)
     places = stored(_places(some), "places")
     terms, entities = places.where("term is not null").drop("entity"), places.where("entity is not null").select("row", "entity", "n")
-    found = cut(_disclosing(texts, some, limits))
+    n = float(texts.count())
+    # documents of each word, combined before the shuffle
+    counts = stored(texts.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "words")
+    found = cut(_disclosing(some, counts, n, limits))
     beside = F.explode(F.sequence(F.col("n") - limits.window + 1, F.col("n") + limits.window)).alias("n")
-    near = entities.select("row", "entity", beside).join(terms, ["row", "n"]).join(found, ["entity", "term"])
-    far = entities.select("row", "entity").distinct().join(found.where(F.col("texts") >= limits.far_texts), "entity").join(terms, ["row", "term"])
-    flagged = near.select("row", "start", "end", "disclosure").union(far.select("row", "start", "end", "disclosure"))
-    action = F.when(F.max("disclosure") >= limits.remove_at, "remove").otherwise("generalise")
-    of_row = flagged.groupBy("row", "start", "end").agg(action.alias("value")).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct(F.lit(ADDED).alias("kind"), "start", "end", "value")), lambda a, b: a["start"] - b["start"]).alias("added")
-    )
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
+    near = entities.select("row", "entity", beside).join(terms, ["row", "n"]).select("row", "entity", "term").distinct().join(found, ["entity", "term"])
+    far = entities.select("row", "entity").distinct().join(found.where(F.col("texts") >= limits.far_texts), "entity")
+    columns = ["row", "term", "disclosure", "needed"]
+    flagged = cut(near.select(*columns).union(far.select(*columns)).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"), F.max("needed").alias("needed")))
+    flagged = flagged.join(_generalised(flagged, counts, n, limits), ["term", "needed"], "left")
+    everywhere = terms.join(flagged, ["row", "term"])
+    action = F.when(F.col("to").isNull(), "remove").otherwise("generalise")
+    span = F.struct(F.lit(ADDED).alias("kind"), "start", "end", action.alias("value"), F.coalesce("to", F.lit("")).alias("to"))
+    of_row = everywhere.select("row", span.alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("added"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     return base.drop("text").join(of_row, "row", "left").select("doc_id", "h", "base", F.coalesce("added", none).alias("added"))
 
 
@@ -183,27 +231,35 @@ def digests(found: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
     """docs with the personal data of their texts replaced by placeholders; all rows and columns stay, a null text stays null."""
-    found = spans(docs, id_col, text_col, limits).select("doc_id", "h", F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["doc_id", "h"])
-    sorted_ = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    # spans that overlap become one, with the first's placeholder
-    merged = F.expr(
-        "aggregate(_s, cast(array() as array<struct<kind:string,start:int,end:int,value:string>>), (acc, x) -> if(size(acc) > 0 and x.start < acc[size(acc) - 1].end,"
-        " array_append(slice(acc, 1, size(acc) - 1), named_struct('kind', acc[size(acc) - 1].kind, 'start', acc[size(acc) - 1].start, 'end', greatest(acc[size(acc) - 1].end, x.end), 'value', acc[size(acc) - 1].value)),"
-        " array_append(acc, x)))"
-    )
-    found = found.withColumn("_s", sorted_).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), merged.alias("_m"))
+    found = spans(docs, id_col, text_col, limits).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.concat("base", "added").alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_id", "_h"])
+    # spans that overlap become one, replaced as the first of them is
+    key = ["_id", "_h"]
+    of_text = Window.partitionBy(*key).orderBy("start", F.desc("end"), "kind")
+    each = found.select(*key, F.explode("_s").alias("s")).select(*key, "s.start", "s.end", "s.kind", "s.to")
+    opens = F.coalesce(F.col("start") >= F.max("end").over(of_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    each = each.withColumn("opens", opens).withColumn("g", F.sum(F.col("opens").cast("int")).over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = each.groupBy(*key, "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("opens"), F.col("to"))).alias("to"))
+    found = merged.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "to"))).alias("_m"))
     # the rows' own columns travel as one, so that none can clash
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
     joined = rows.join(found, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    mark = F.create_map(*(x for k, v in PLACEHOLDER.items() for x in (F.lit(k), F.lit(v))))
     t = F.col("t")
 
-    def part(s: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.try_element_at(F.col("_m"), i)["end"]).otherwise(0)  # the end of the span before
-        return F.concat(F.substring(t, begin + 1, s["start"] - begin), F.when(s["value"].eqNullSafe("remove") & (s["kind"] == ADDED), "").otherwise(mark[s["kind"]]))
+    def part(block: Column, begin: Column) -> Column:
+        """The text from begin to the end of a block's last span, replaced; positions are those within it."""
+        piece = F.substring(t, begin + 1, F.element_at(block, -1)["end"] - begin)
+
+        def of(within: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.try_element_at(block, i)["end"]).otherwise(begin)  # noqa: E731  the end of the span before
+            return F.array_join(F.transform(block, lambda s, i: F.concat(F.substring(within, before(i) - begin + 1, s["start"] - before(i)), s["to"])), "")
+
+        return _let(piece, of)
+
+    def clean(blocks: Column) -> Column:
+        begin = lambda i: F.when(i > 0, F.element_at(F.try_element_at(blocks, i), -1)["end"]).otherwise(0)
+        return F.array_join(F.transform(blocks, lambda b, i: part(b, begin(i))), "")
 
     last = F.element_at("_m", -1)["end"]
-    clean = F.concat(F.array_join(F.transform("_m", part), ""), F.substring(t, last + 1, F.length(t) - last))
-    text = F.when(F.col("_m").isNotNull(), clean).otherwise(t)
+    text = F.when(F.col("_m").isNotNull(), F.concat(_let(_blocks(F.col("_m")), clean), F.substring(t, last + 1, F.length(t) - last))).otherwise(t)
     return joined.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

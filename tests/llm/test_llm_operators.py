@@ -563,11 +563,11 @@ def test_sanitise_base(spark, docs, empty):
 
 
 def test_sanitise_terms(spark):
-    rows = [(i, f"note {i} ask Quillon Marsh at marsh@corp.example soon, number {i}") for i in range(6)] + [(10 + i, f"the note and ask the others soon, a number {i}") for i in range(60)] + [(90, None), (91, "Quillon alone")]
+    rows = [(i, f"note {i} ask Quillon Marsh at marsh@corp.example soon, number {i}") for i in range(6)] + [(10 + i, f"the note and ask the others quite soon, a number {i}") for i in range(60)] + [(90, None), (91, "Quillon alone")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"h": F.lit("x"), "_m": F.lit(1), "n_chars": F.lit(5)})
     found = {r.doc_id: r for r in sanitise.spans(df, limits=sanitise.Thresholds(least_texts=3)).collect()}
     terms = {rows[0][1][s.start : s.end]: s.value for s in found[0].added}
     assert terms["Marsh"] == "remove" and terms["Quillon"] == "generalise" and "ask" not in terms and "soon" not in terms
     assert found[91].added == [] and found[91].base == []
     clean = {r.doc_id: r.text for r in sanitise.sanitised(df, limits=sanitise.Thresholds(least_texts=3)).collect()}
-    assert clean[0] == "note 0 ask [TERM]  at [EMAIL] soon, number 0" and clean[91] == "Quillon alone" and clean[90] is None and len(clean) == len(rows)
+    assert clean[0] == "note 0 ask qui*  at [EMAIL] soon, number 0" and clean[91] == "Quillon alone" and clean[90] is None and len(clean) == len(rows)
