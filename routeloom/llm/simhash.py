@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_texts, parallelism
+from .common import cut, in_worker, keyed_texts, parallelism
 from .components import components
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(in_worker(run), "doc_id bigint, fp bigint")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -210,7 +210,7 @@ def links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 8192) -> DataFra
     met = cut(
         variants.repartition(parallelism(spark), "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_compare(max_bits, bucket_rows), "a bigint, b bigint, key bigint")
+        .mapInArrow(in_worker(_compare(max_bits, bucket_rows)), "a bigint, b bigint, key bigint")
     )
     found, hot = met.where("a is not null").select("a", "b"), met.where("key is not null").select("key").distinct()
     if hot.isEmpty():

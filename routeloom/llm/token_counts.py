@@ -15,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_texts
+from .common import cut, in_worker, keyed_texts
 
-#: Bytes of a text that are encoded at once.
-PIECE_CHARS = 1 << 20
 #: Lengths of one block of the sums.
 BLOCK = 4096
 
@@ -45,7 +43,7 @@ def lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
             n = [len(encode(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(in_worker(run), "doc_id bigint, n_tokens bigint")
 
 
 def histogram(counted: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import cut, keyed_texts, parallelism, shared_dir
+from .common import cut, in_worker, keyed_texts, new_folder, parallelism
 from .word_tokens import WordEncoder, encoded
 
 #: Blocks that are coded in step.
@@ -102,7 +102,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     """
     texts = keyed_texts(docs, id_col, text_col)
     order = texts.repartitionByRange(files or parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    order.mapInArrow(_encode(tokenizer_path, end_id, block_ids), "task int, block bigint, n_ids bigint, data binary").write.parquet(path)
+    order.mapInArrow(in_worker(_encode(tokenizer_path, end_id, block_ids), WordEncoder), "task int, block bigint, n_ids bigint, data binary").write.parquet(path)
 
 
 def _parts(batches):
@@ -146,7 +146,7 @@ def read(spark, path: str) -> DataFrame:
     A damaged block stops the read with an error.
     """
     blocks = spark.read.parquet(path)
-    parts = cut(blocks.select("task", "block", "data").mapInArrow(_parts, "task int, block bigint, place int, doc_id bigint, n bigint, crc bigint, first boolean, last boolean"))
+    parts = cut(blocks.select("task", "block", "data").mapInArrow(in_worker(_parts), "task int, block bigint, place int, doc_id bigint, n bigint, crc bigint, first boolean, last boolean"))
     whole = parts.where("first and last").selectExpr("task", "block", "place", "doc_id", "n as n_tokens", "crc as ids_crc32")
     # documents over several blocks: a file's few such parts in order
     split = parts.where("not (first and last)").repartition("task").sortWithinPartitions("task", "block", "place")
@@ -164,6 +164,4 @@ def read(spark, path: str) -> DataFrame:
 
 
 def new_path(spark) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return new_folder(spark, "token-files")
