@@ -9,12 +9,12 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import api
 from .operators.alerts import Settings
-from .sinks.alerts import log_sink, webhook_sink
+from .sinks.alerts import log_sink, table_sink, webhook_sink
 from .sources import config, fixture, live, mrt, vrp
 from .streaming.job import Engine
 
@@ -33,13 +33,8 @@ def replay(spark: SparkSession, path: str, query: str | None = None) -> dict:
     return out
 
 
-def _numbered(batch: DataFrame, number: int) -> DataFrame:
-    """Arrival order of a batch of files: batch, file, line or record, item."""
-    return mrt.with_seq(batch).withColumn("seq", F.col("seq") + F.lit(number << 50))
-
-
 def stream_of(spark: SparkSession, c: config.Config, landed: str | None) -> DataFrame | None:
-    """The configured stream of events with file, rec_no and item; None means the stub."""
+    """The configured stream of events with file and place (rec_no and item for lines); None means the stub."""
     if c.live_enabled and landed:
         # a landed file is a batch of lines; their order within it is their number
         lines = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", 16).text(landed).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("rec_no", "value"))
@@ -53,13 +48,20 @@ def stream_of(spark: SparkSession, c: config.Config, landed: str | None) -> Data
 def serve(spark: SparkSession, c: config.Config, state: str, landed: str | None = None, once: bool = False):
     settings = Settings(c.baseline_window, c.spike_window, c.spike_factor, c.spike_min, relationships=c.relationships())
     vrps = vrp.load(spark, c.vrp_file).cache() if c.vrp_file else None
-    sinks = (log_sink(), *((webhook_sink(c.webhook_url),) if c.webhook_url else ()))
+    sinks = (log_sink(), *((table_sink(c.alert_table),) if c.alert_table else ()), *((webhook_sink(c.webhook_url),) if c.webhook_url else ()))
     engine = Engine(spark, state, settings, vrps, fixture.watchlist(spark, c.watch), sinks)
     stream = stream_of(spark, c, landed)
     if stream is None:
         engine.process(api.stub_events(spark), 0)
         return engine
-    writer = stream.writeStream.foreachBatch(lambda batch, n: engine.process(_numbered(batch, n), n)).option("checkpointLocation", f"{state}/checkpoint")
+
+    def process(batch: DataFrame, n: int) -> None:
+        if "place" not in batch.columns:  # lines: events are counted within their file
+            order = Window.partitionBy("file").orderBy("rec_no", "item")
+            batch = batch.withColumn("place", F.row_number().over(order).cast("bigint") - 1).drop("rec_no", "item")
+        engine.process(mrt.with_seq(batch, engine.next_seq(n)), n)
+
+    writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{state}/checkpoint")
     query = (writer.trigger(availableNow=True) if once else writer).start()
     query.awaitTermination()
     return engine

@@ -63,8 +63,8 @@ def found_by(events: DataFrame, vrps: DataFrame | None, known: DataFrame, settin
     out = hijack.union(subprefix).union(_alert(leaked, "leak", warning, zero, F.col("leaker"), leaked_to=F.col("leaked_to")))
     if vrps is not None:
         ann = base.announces(events)
-        invalid = validate(ann, vrps).where("rov = 'invalid'").select("seq")
-        out = out.union(_alert(ann.join(invalid, "seq"), "rpki_invalid", warning, zero, F.col("origin")))
+        invalid = validate(ann, vrps).where("rov = 'invalid'")
+        out = out.union(_alert(invalid, "rpki_invalid", warning, zero, F.col("origin")))
     count = {"window_count": F.col("window_count")}
     out = out.union(_alert(by_prefix, "spike_prefix", info, zero, event_origin(F.col("kind"), F.col("path")), **count))
     return out.union(_alert(by_peer, "spike_peer", info, zero, F.col("peer_asn"), prefix=False, **count))
@@ -74,15 +74,21 @@ def emitted(found: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
     return cooled(found, KEY, seconds)
 
 
-#: Sequence numbers that one task numbers at once.
+#: Blocks of sequence numbers that are numbered on their own, and blocks of such blocks.
 ID_BLOCK = 1 << 16
 
 
 def numbered(alerts: DataFrame, offset: int = 0) -> DataFrame:
-    """alerts with ids from offset + 1 in the order of (seq, ord): numbered within blocks of seq, after the counts of the blocks before."""
+    """alerts with ids from offset + 1 in the order of (seq, ord): numbered within blocks of seq, after the counts of the blocks before.
+
+    The counts are added up within blocks of ID_BLOCK blocks, and those in turn: 2^32 sequence numbers are one row of the last sum.
+    """
     rows = alerts.withColumn("_block", F.expr(f"seq div {ID_BLOCK}"))
-    counts = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # one row for each block
+    counts = rows.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_large", F.expr(f"_block div {ID_BLOCK}"))
+    large = counts.groupBy("_large").agg(F.sum("_n").alias("_m"))
+    large = large.select("_large", (F.sum("_m").over(Window.orderBy("_large")) - F.col("_m")).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy("_large").orderBy("_block")) - F.col("_n")
+    before = counts.withColumn("_within", within).join(large, "_large").select("_block", (F.col("_before") + F.col("_within")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_block").orderBy("seq", "ord"))
     return rows.withColumn("_own", own).join(before, "_block").withColumn("id", F.lit(offset) + F.col("_before") + F.col("_own")).drop("_block", "_own", "_before")
 

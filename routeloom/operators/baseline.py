@@ -109,7 +109,8 @@ def subprefixes(events: DataFrame, baseline: DataFrame) -> DataFrame:
     own = own.withColumnsRenamed({k: f"_{k}" for k in PREFIX})
     new = ann.join(own, [*same, F.col("origin") == F.col("known"), F.col("known_seq") < F.col("seq")], "left_anti")
     locked = baseline.where("lock_seq is not null and size(origins) > 0").select(*PREFIX, "lock_seq", "origins", "watched")
-    met = cover_join(new.select("seq", *PREFIX, "origin"), locked, strict=True).where("lock_seq < seq")
-    nearest = met.groupBy("seq").agg(F.max_by(F.struct("cover_len", "cover_hi", "cover_lo", "origins", "watched", "origin"), F.col("cover_len")).alias("c"))
-    found = nearest.where(~F.array_contains("c.origins", F.col("c.origin"))).select("seq", F.col("c.origins")[0].alias("expected_asn"), F.col("c.origin").alias("observed_asn"), F.col("c.watched").alias("watched"), F.col("c.cover_len").alias("cover_len"))
-    return ann.join(found, "seq").withColumn("severity", _severity()).drop("watched")
+    met = cover_join(new, locked, strict=True).where("lock_seq < seq")
+    # of an event's covers, at most one for each length, the longest
+    nearest = met.groupBy("seq").agg(F.max_by(F.struct(*(F.col(c) for c in ann.columns if c != "seq"), "cover_len", "origins", "watched"), F.col("cover_len")).alias("c")).select("seq", "c.*")
+    found = nearest.where(~F.array_contains("origins", F.col("origin")))
+    return found.select(*ann.columns, F.col("origins")[0].alias("expected_asn"), F.col("origin").alias("observed_asn"), "cover_len", _severity().alias("severity"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.aspath import event_origin, path_origin
 from ..functions.prefix import mask, parse_text
 from ..schema import HISTORY, PREFIX
-from .coverjoin import cover_join
 
 KEY = (*PREFIX, "peer")
 
@@ -75,12 +74,16 @@ def more_specifics(routes: DataFrame, prefix: str) -> DataFrame:
     return routes.where((F.col("family") == family) & (F.col("len") > length) & (masked[0] == hi) & (masked[1] == lo))
 
 
-def covering(routes: DataFrame, prefix: str) -> DataFrame:
-    """Live routes of the prefixes that cover a prefix, itself included; order by len for the least specific first."""
+def at_covers(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows whose prefix covers a prefix, itself included: a filter on at most 33 or 129 networks, so that events can be chosen before they are aggregated."""
     family, length, hi, lo = parse_text(prefix)
-    probe = routes.sparkSession.createDataFrame([(family, length, hi, lo)], "family int, len int, hi bigint, lo bigint")
-    found = cover_join(probe, routes)
-    return found.drop("len", "hi", "lo").withColumnsRenamed({"cover_len": "len", "cover_hi": "hi", "cover_lo": "lo"})
+    masked = mask(F.lit(hi), F.lit(lo), F.col("len"))
+    return rows.where((F.col("family") == family) & (F.col("len") <= length) & (F.col("hi") == masked[0]) & (F.col("lo") == masked[1]))
+
+
+def covering(routes: DataFrame, prefix: str) -> DataFrame:
+    """Live routes of the prefixes that cover a prefix, itself included; order by len for the least specific first. See at_covers for events."""
+    return at_covers(routes, prefix)
 
 
 def by_origin(routes: DataFrame, asn: int) -> DataFrame:

@@ -45,12 +45,12 @@ def _joined(numbers: Column) -> Column:
 
 def rov_state(spark, d):
     ann = _announces(spark, d)
-    return ann.join(validate(ann, fixture.vrps(spark)), "seq").select("seq", "len", _net(), "origin", "rov")
+    return validate(ann, fixture.vrps(spark)).select("seq", "len", _net(), "origin", "rov")
 
 
 def rpki_invalid(spark, d):
     ann = _announces(spark, d)
-    return validate(ann, fixture.vrps(spark)).where("rov = 'invalid'").join(ann, "seq").select("seq", "len", _net(), F.col("origin").alias("observed_asn"))
+    return validate(ann, fixture.vrps(spark)).where("rov = 'invalid'").select("seq", "len", _net(), F.col("origin").alias("observed_asn"))
 
 
 def rov_counts(spark, d):
@@ -149,7 +149,7 @@ def rib_more_specifics(spark, d):
 
 
 def rib_covering(spark, d):
-    return rib.covering(rib.live(_events(spark, d)), "10.3.17.0/24").select("len", _net(), "peer", "origin")
+    return rib.covering(rib.live(rib.at_covers(_events(spark, d), "10.3.17.0/24")), "10.3.17.0/24").select("len", _net(), "peer", "origin")
 
 
 def rib_by_origin(spark, d):

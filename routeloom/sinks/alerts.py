@@ -6,6 +6,8 @@ import json
 import logging
 import urllib.request
 from collections.abc import Callable
+from queue import Full, Queue
+from threading import Thread
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from ..schema import PREFIX
 
 log = logging.getLogger("routeloom.alerts")
 
-#: A webhook gets so many alerts of a batch at most; the rest are dropped and counted in the log.
+#: Alerts that wait for a webhook at most; those that find the queue full are dropped and counted in the log.
 WEBHOOK_QUEUE = 256
 
 
@@ -37,11 +39,11 @@ def summary() -> Column:
 
 
 def as_json(alerts: DataFrame) -> DataFrame:
-    """(id, json): one document for each alert, its evidence as a document within."""
-    evidence = F.from_json("evidence", "map<string,string>")
-    return alerts.withColumn("prefix", prefix_text()).select(
-        "id", F.to_json(F.struct("id", "ts", "type", "severity", "prefix", "expected_asn", "observed_asn", "peer", summary().alias("summary"), evidence.alias("evidence"))).alias("json")
-    )
+    """(id, json): one document for each alert, its evidence as a document within, numbers as numbers."""
+    fields = F.to_json(F.struct("id", "ts", "type", "severity", "prefix", "expected_asn", "observed_asn", "peer", summary().alias("summary")))
+    # the evidence is a document already: it is put in as it stands
+    document = F.concat(F.left(fields, F.length(fields) - 1), F.lit(',"evidence":'), F.coalesce("evidence", F.lit("null")), F.lit("}"))
+    return alerts.withColumn("prefix", prefix_text()).select("id", document.alias("json"))
 
 
 def table_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -65,22 +67,39 @@ def log_sink() -> Callable[[DataFrame, int], None]:
 
 
 def webhook_sink(url: str, timeout: float = 10.0, queue: int = WEBHOOK_QUEUE, post: Callable | None = None) -> Callable[[DataFrame, int], None]:
-    """POST of each alert, best effort."""
+    """POST of each alert by a thread of its own, best effort: a batch only puts its alerts into a bounded queue, and those that find it full are dropped and counted.
+
+    The function it gives has `drain`, which waits until the queue is empty.
+    """
+    waiting: Queue[tuple[int, bytes]] = Queue(queue)
 
     def send(body: bytes) -> None:
         request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
         urllib.request.urlopen(request, timeout=timeout).close()
 
+    def work() -> None:
+        while True:
+            number, body = waiting.get()
+            try:
+                (post or send)(body)
+            except (OSError, ValueError) as e:
+                log.warning("webhook: alert %d not delivered: %s", number, e)
+            finally:
+                waiting.task_done()
+
+    Thread(target=work, daemon=True).start()
+
     def write(alerts: DataFrame, batch: int) -> None:
-        found = as_json(alerts).orderBy("id").limit(queue + 1).collect()
-        for row in found[:queue]:
+        dropped = 0
+        for row in as_json(alerts).orderBy("id").toLocalIterator():
             try:
-                (post or send)(row.json.encode())
-            except OSError as e:
-                log.warning("webhook: alert %d not delivered: %s", row.id, e)
-        if len(found) > queue:
-            log.warning("webhook: batch %d has more than %d alerts; the rest are dropped", batch, queue)
+                waiting.put_nowait((row.id, row.json.encode()))
+            except Full:
+                dropped += 1
+        if dropped:
+            log.warning("webhook: %d alerts of batch %d found the queue full and are dropped", dropped, batch)
 
+    write.drain = waiting.join
     return write
 
 

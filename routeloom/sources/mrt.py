@@ -10,7 +10,7 @@ import socket
 import struct
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bgp
@@ -25,13 +25,14 @@ EVENT = (
     "struct<ts:double,kind:string,family:int,len:int,hi:bigint,lo:bigint,path:array<bigint>,origin_from_set:boolean,origin_attr:smallint,next_hop:string,"
     "med:bigint,local_pref:bigint,communities:array<bigint>,peer:string,peer_asn:bigint>"
 )
-RECORD = f"file string, rec_no bigint, ts double, type int, subtype int, status string, error string, events array<{EVENT}>"
+#: before: events of the records before it in the file
+RECORD = f"file string, rec_no bigint, before bigint, ts double, type int, subtype int, status string, error string, events array<{EVENT}>"
 _EVENT_ARROW = pa.struct(
     [("ts", pa.float64()), ("kind", pa.string()), ("family", pa.int32()), ("len", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("path", pa.list_(pa.int64())), ("origin_from_set", pa.bool_()),
      ("origin_attr", pa.int16()), ("next_hop", pa.string()), ("med", pa.int64()), ("local_pref", pa.int64()), ("communities", pa.list_(pa.int64())), ("peer", pa.string()), ("peer_asn", pa.int64())]
 )
 _RECORD_ARROW = pa.schema(
-    [("file", pa.string()), ("rec_no", pa.int64()), ("ts", pa.float64()), ("type", pa.int32()), ("subtype", pa.int32()), ("status", pa.string()), ("error", pa.string()), ("events", pa.list_(_EVENT_ARROW))]
+    [("file", pa.string()), ("rec_no", pa.int64()), ("before", pa.int64()), ("ts", pa.float64()), ("type", pa.int32()), ("subtype", pa.int32()), ("status", pa.string()), ("error", pa.string()), ("events", pa.list_(_EVENT_ARROW))]
 )
 
 
@@ -141,10 +142,11 @@ def records(data):
 def _decode(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            dump, out = Dump(), []
+            dump, out, before = Dump(), [], 0
             for n, ts, kind, subtype, body in records(memoryview(content.as_buffer()).cast("B")):
                 status, error, events = dump.record(ts, kind, subtype, body) if kind is not None else ("corrupt", None, [])
-                out.append({"file": path, "rec_no": n, "ts": ts, "type": kind, "subtype": subtype, "status": status, "error": error, "events": events})
+                out.append({"file": path, "rec_no": n, "before": before, "ts": ts, "type": kind, "subtype": subtype, "status": status, "error": error, "events": events})
+                before += len(events)
                 if len(out) == 2000:
                     yield pa.RecordBatch.from_pylist(out, schema=_RECORD_ARROW)
                     out = []
@@ -165,15 +167,15 @@ def read_records(spark: SparkSession, path: str, streaming: bool = False, files_
 
 
 def events(found: DataFrame) -> DataFrame:
-    """The events of records, with file, rec_no and item, whose order is the order of arrival."""
-    return found.select("file", "rec_no", F.posexplode("events").alias("item", "e")).select("file", "rec_no", "item", "e.*", F.lit("mrt").alias("source"))
+    """The events of records, with file and place: their number in the file, in the order of arrival."""
+    return found.select("file", "before", F.posexplode("events").alias("item", "e")).select("file", (F.col("before") + F.col("item")).alias("place"), "e.*", F.lit("mrt").alias("source"))
 
 
-def with_seq(rows: DataFrame) -> DataFrame:
-    """Adds seq, which orders events by file name, record and item. There is one small row for each file to rank."""
-    rank = rows.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)
-    seq: Column = F.shiftleft(F.col("_file").cast("bigint"), 44).bitwiseOR(F.shiftleft(F.col("rec_no"), 14)).bitwiseOR(F.col("item").cast("bigint"))
-    return rows.join(F.broadcast(rank), "file").withColumn("seq", seq).drop("_file", "file", "rec_no", "item")
+def with_seq(rows: DataFrame, offset: int = 0) -> DataFrame:
+    """Adds seq from offset on, which orders events by file name and place. There is one small row for each file to add up."""
+    counts = rows.groupBy("file").agg((F.max("place") + 1).alias("_n"))
+    before = counts.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "file").withColumn("seq", F.lit(offset) + F.col("_before") + F.col("place")).drop("_before", "file", "place")
 
 
 def replay_stats(found: DataFrame) -> DataFrame:

@@ -20,6 +20,10 @@ from ..operators.rib import KEY as ROUTE
 from ..schema import PREFIX
 
 
+#: Tables of which a batch's version replaces the one before.
+STATES = ("baselines", "spike_prefix_state", "spike_peer_state", "candidates", "cooldown_state", "counts", "routes")
+
+
 @dataclass
 class Engine:
     """Judges batches of route events (with seq); folder holds its tables. sinks get the alerts of each batch (see sinks.alerts)."""
@@ -30,6 +34,8 @@ class Engine:
     vrps: DataFrame | None
     watchlist: DataFrame
     sinks: tuple[Callable[[DataFrame, int], None], ...] = ()
+    #: Versions of the states that are kept; a batch needs the one before it.
+    versions: int = 8
 
     def path(self, table: str, batch: int | None = None) -> str:
         return f"{self.folder}/{table}" + (f"/batch={batch}" if batch is not None else "")
@@ -41,6 +47,11 @@ class Engine:
         rows.write.mode("overwrite").parquet(self.path(table, batch))
         return self.spark.read.parquet(self.path(table, batch))
 
+    def next_seq(self, batch: int) -> int:
+        """The arrival number that follows those of the batches before."""
+        before = self._prior("counts", batch)
+        return before.first().next_seq if before is not None else 0
+
     def process(self, events: DataFrame, batch: int) -> None:
         events = self._keep(events, "events", batch)
         s = self.settings
@@ -56,12 +67,24 @@ class Engine:
         judged, states = continued_cooldown(candidates, self._prior("cooldown_state", batch), alerts.KEY, s.cooldown)
         self._keep(states, "cooldown_state", batch)
         before = self._prior("counts", batch)
-        offset = before.first()[0] if before is not None else 0
+        offset, next_seq = before.first()[:] if before is not None else (0, 0)
         emitted = self._keep(alerts.numbered(judged.where("emitted = 1").drop("emitted"), offset), "alerts", batch)
-        self._keep(self.spark.createDataFrame([(offset + emitted.count(),)], "last_id bigint"), "counts", batch)
+        last = events.agg(F.max("seq")).first()[0]
+        next_seq = next_seq if last is None else max(next_seq, last + 1)
+        self._keep(self.spark.createDataFrame([(offset + emitted.count(), next_seq)], "last_id bigint, next_seq bigint"), "counts", batch)
         self._keep(self._routes(events, batch), "routes", batch)
         for sink in self.sinks:
             sink(emitted, batch)
+        self._forget(batch - self.versions)
+
+    def _forget(self, batch: int) -> None:
+        """Delete the states of a batch that no repetition needs. Events, routes of the newest batch and alerts stay."""
+        if batch < 0:
+            return
+        jvm = self.spark.sparkContext._jvm
+        for table in STATES:
+            target = jvm.org.apache.hadoop.fs.Path(self.path(table, batch))
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def _routes(self, events: DataFrame, batch: int) -> DataFrame:
         """The last event of each prefix and peer; routes are those that are announcements."""

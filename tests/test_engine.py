@@ -160,10 +160,12 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(0, 600, 200):
         frame(spark, rows[k : k + 200]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     log = []
-    sinks = (table_sink(str(tmp_path / "out")), log_sink(), webhook_sink("http://127.0.0.1:9/", queue=3, post=log.append))
+    hook = webhook_sink("http://127.0.0.1:9/", queue=3, post=log.append)
+    sinks = (table_sink(str(tmp_path / "out")), log_sink(), hook)
     engine = Engine(spark, str(tmp_path / "state"), SETTINGS, vrps(spark), watch(spark, *WATCHED), sinks)
     stream = spark.readStream.schema(frame(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     engine.start(stream, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    hook.drain()
     got = engine.alerts().orderBy("id").collect()
     assert [(r.seq, r.ord, r.type, r.observed_asn) for r in got] == want
     assert [r.id for r in got] == list(range(1, len(want) + 1)) and log
