@@ -4,8 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from routeloom.plans.oracle import ORACLE_SQL
-from routeloom.plans.queries import QUERIES
+from routeloom.plans import oracle, queries, wire, wire_oracle
+
+QUERIES, ORACLE_SQL = queries.QUERIES | wire.QUERIES, oracle.ORACLE_SQL | wire_oracle.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def plain(v):
     return int(v) if isinstance(v, float) and v == int(v) else v
 
 
-@pytest.mark.parametrize("name", ["rov_state", "rib_first_seen", "rib_history", "watch_seed", "hijack_watched", "subprefix", "leak", "spike_prefix", "alerts_all", "ris_parse", "vrp_load", "prefix_parse"])
+@pytest.mark.parametrize("name", ["rov_state", "rib_first_seen", "rib_history", "watch_seed", "hijack_watched", "subprefix", "leak", "spike_prefix", "alerts_all", "ris_parse", "vrp_load", "prefix_parse", *wire.QUERIES])
 def test_query(spark, name):
     assert set(QUERIES) == set(ORACLE_SQL)
     db = duckdb.connect()
