@@ -1,4 +1,4 @@
-"""Command line: `rov DUMP PREFIX ASN`, `replay PATH [--query PREFIX]`, `serve --config FILE [--input FOLDER] --state FOLDER`.
+"""Command line: `rov DUMP PREFIX ASN`, `replay PATH [--query PREFIX]`, `serve --config FILE [--input FOLDER] --state FOLDER [--http]`.
 
 Start it with spark-submit or python -m routeloom. serve takes the live feed's landed lines before archived dumps, and
 those before the stub.
@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import argparse
 import json
+from threading import Thread
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import api
+from .http import server
 from .operators.alerts import Settings
 from .sinks.alerts import log_sink, table_sink, webhook_sink
 from .sources import config, fixture, live, mrt, vrp
@@ -45,11 +47,13 @@ def stream_of(spark: SparkSession, c: config.Config, landed: str | None) -> Data
     return None
 
 
-def serve(spark: SparkSession, c: config.Config, state: str, landed: str | None = None, once: bool = False):
+def serve(spark: SparkSession, c: config.Config, state: str, landed: str | None = None, once: bool = False, http: bool = False):
     settings = Settings(c.baseline_window, c.spike_window, c.spike_factor, c.spike_min, relationships=c.relationships())
     vrps = vrp.load(spark, c.vrp_file).cache() if c.vrp_file else None
     sinks = (log_sink(), *((table_sink(c.alert_table),) if c.alert_table else ()), *((webhook_sink(c.webhook_url),) if c.webhook_url else ()))
     engine = Engine(spark, state, settings, vrps, fixture.watchlist(spark, c.watch), sinks)
+    if http:
+        Thread(target=server(engine, c.api_port).serve_forever, daemon=True).start()
     stream = stream_of(spark, c, landed)
     if stream is None:
         engine.process(api.stub_events(spark), 0)
@@ -75,7 +79,7 @@ def main() -> None:
     two = commands.add_parser("replay")
     two.add_argument("path"), two.add_argument("--query", "-q")
     three = commands.add_parser("serve")
-    three.add_argument("--config", "-c", required=True), three.add_argument("--state", required=True), three.add_argument("--input"), three.add_argument("--once", action="store_true")
+    three.add_argument("--config", "-c", required=True), three.add_argument("--state", required=True), three.add_argument("--input"), three.add_argument("--once", action="store_true"), three.add_argument("--http", action="store_true")
     a = parser.parse_args()
     spark = session()
     if a.command == "rov":
@@ -83,7 +87,7 @@ def main() -> None:
     elif a.command == "replay":
         print(json.dumps(replay(spark, a.path, a.query), indent=2, default=str))
     else:
-        serve(spark, config.load(a.config), a.state, a.input, a.once)
+        serve(spark, config.load(a.config), a.state, a.input, a.once, a.http)
 
 
 if __name__ == "__main__":

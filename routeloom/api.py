@@ -67,8 +67,8 @@ def metrics(found: dict, namespace: str = "routeloom") -> str:
     metric("rib_prefixes", "gauge", "Prefixes ever announced", ("", found["rib"]["prefixes"]))
     metric("rib_routes", "gauge", "Live routes by prefix and peer", ("", found["rib"]["routes"]))
     metric("rib_events_total", "counter", "Events applied to the routing table", ("", found["rib"]["events_applied"]))
-    metric("events_processed_total", "counter", "Events judged", ("", found["engine"]["events"]))
-    metric("alerts_total", "counter", "Alerts emitted by type", *((f'{{type="{t}"}}', found["alerts"][t]) for t in ALERT_TYPES))
+    metric("events_processed_total", "counter", "Events that the detectors have seen", ("", found["engine"]["events"]))
+    metric("alerts_total", "counter", "Emitted alerts of each type", *((f'{{type="{t}"}}', found["alerts"][t]) for t in ALERT_TYPES))
     metric("alerts_suppressed_total", "counter", "Alerts suppressed by cooldown", ("", found["engine"]["suppressed"]))
     return "\n".join(lines) + "\n"
 

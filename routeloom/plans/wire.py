@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.aspath import format_path
 from ..functions.prefix import format as format_prefix
 from ..functions.prefix import parse, v4_net
+from ..functions.text import query_value
 from ..operators import alerts
 from ..operators.coverjoin import cover_join
 from ..operators.rov import validate
@@ -289,7 +290,15 @@ def alerts_filtered(spark: SparkSession, d: str) -> DataFrame:
     return alerts.query(store, type="rpki_invalid", since=since, prefix=parse_text("10.3.17.0/24"), limit=40).select("id", "seq", "type", "severity", "observed_asn")
 
 
+def url_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of a request's query string: escapes, plus signs, a key that comes twice, one that is missing, an escape that is none."""
+    seq = F.col("seq").cast("string")
+    query = F.concat(F.lit("type=leak%20"), seq, F.lit("&prefix=10."), (F.col("seq") % 200).cast("string"), F.lit(".0.0%2F16&limit=a+b%2Bc&prefix=no&odd=5%zz%4&typed=x"))
+    return _events(spark, d).select("seq", *(query_value(query, k).alias(k) for k in ("type", "prefix", "limit", "odd", "since")))
+
+
 WIRE = (
+    url_values,
     update_decode, update_mp6, malformed_updates, nlri_codec, mrt_decode, mrt_replay_counts, table_dump_decode, prefix6_parse, prefix6_covers, rov6, vrp_dump, alert_evidence, alerts_filtered,
 )
 QUERIES = {f.__name__: f for f in WIRE}

@@ -21,6 +21,7 @@ TEXTS6 = f"""t6 AS (
 BYTES = "concat(printf('%02x', len), printf('%02x', (net >> 24) & 255), printf('%02x', (net >> 16) & 255), CASE WHEN len > 16 THEN printf('%02x', (net >> 8) & 255) ELSE '' END)"
 
 ORACLE_SQL: dict[str, str] = {
+    "url_values": "SELECT event_id AS seq, 'leak ' || CAST(event_id AS VARCHAR) AS type, '10.' || CAST(event_id % 200 AS VARCHAR) || '.0.0/16' AS prefix, 'a b+c' AS \"limit\", '5%zz%4' AS odd, CAST(NULL AS VARCHAR) AS since FROM events",
     "update_decode": _with(
         EVENTS,
         f"""SELECT seq, kind, len, net, {SET} AS from_set, CASE WHEN kind = 'announce' THEN CAST(seq % 3 AS INTEGER) END AS origin_attr,

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, baseline
+from ..operators import alerts, baseline, rib
 from ..operators.folds import continued_cooldown, continued_spikes
 from ..operators.rib import KEY as ROUTE
 from ..schema import PREFIX
@@ -34,7 +34,7 @@ class Engine:
     vrps: DataFrame | None
     watchlist: DataFrame
     sinks: tuple[Callable[[DataFrame, int], None], ...] = ()
-    #: Versions of the states that are kept; a batch needs the one before it.
+    #: Versions of the states that are kept, at least 2.
     versions: int = 8
 
     def path(self, table: str, batch: int | None = None) -> str:
@@ -67,15 +67,15 @@ class Engine:
         judged, states = continued_cooldown(candidates, self._prior("cooldown_state", batch), alerts.KEY, s.cooldown)
         self._keep(states, "cooldown_state", batch)
         before = self._prior("counts", batch)
-        offset, next_seq = before.first()[:] if before is not None else (0, 0)
+        offset, next_seq, suppressed = before.first()[:] if before is not None else (0, 0, 0)
         emitted = self._keep(alerts.numbered(judged.where("emitted = 1").drop("emitted"), offset), "alerts", batch)
         last = events.agg(F.max("seq")).first()[0]
         next_seq = next_seq if last is None else max(next_seq, last + 1)
-        self._keep(self.spark.createDataFrame([(offset + emitted.count(), next_seq)], "last_id bigint, next_seq bigint"), "counts", batch)
+        self._keep(self.spark.createDataFrame([(offset + (n := emitted.count()), next_seq, suppressed + candidates.count() - n)], "last_id bigint, next_seq bigint, suppressed bigint"), "counts", batch)
         self._keep(self._routes(events, batch), "routes", batch)
         for sink in self.sinks:
             sink(emitted, batch)
-        self._forget(batch - self.versions)
+        self._forget(batch - max(2, self.versions))  # a batch that is repeated needs the version before it
 
     def _forget(self, batch: int) -> None:
         """Delete the states of a batch that no repetition needs. Events, routes of the newest batch and alerts stay."""
@@ -102,3 +102,13 @@ class Engine:
 
     def alerts(self) -> DataFrame:
         return self.spark.read.parquet(self.path("alerts"))
+
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(self.path("events")).drop("batch")
+
+    def stats(self) -> dict:
+        """Counts of the routing table, the engine and the store, as they have been written."""
+        table = rib.stats(self.events()).first().asDict()
+        found = {r.type: r["count"] for r in alerts.counts(self.alerts()).collect()}
+        suppressed = self.spark.read.parquet(self.path("counts")).agg(F.max("suppressed")).first()[0]  # a running count: the newest is the largest
+        return {"rib": table, "engine": {"events": table["events_applied"], "suppressed": suppressed}, "alerts": found}
