@@ -1,24 +1,32 @@
-"""Groups of near copies by the Jaccard similarity of word shingles: candidates by a long SimHash, verified exactly.
+"""Groups of near copies by the Jaccard similarity of word shingles: candidates by deletion variants of a long SimHash, verified exactly.
 
-A text is the set of its word shingles (as in operator 1, of five words). Its SimHash has 1,280 bits, in segments of ten.
-Texts with a similarity of 0.8 differ in about 15 % of the bits, so a segment is equal with a probability of 0.2, and two
-neighbouring segments, joined to one key of 20 bits, with 0.04; there are 128 such keys. Rows that meet under one key are
-near when the first 128 bits differ in at most `MAX_BITS`; texts that share no more than chance differ in 64. Texts that
-links of near rows join are a family; a task merges its links to a forest, so that few rows say which texts are a family.
+A text is the set of its word shingles (as in operator 1, of five words). Its SimHash has 1,280 bits, of which the first 640
+are cut into segments of twenty. As in operator 1, a segment is indexed under each of its deletion variants (one bit taken
+out), so two segments meet that differ in at most one bit. Texts with a similarity of 0.8 differ in about 15 % of the bits, so
+they meet in a segment with a probability of 0.175, and in one of 32 with 0.998. Rows that meet under a variant are near when
+the first 128 bits differ in at most `MAX_BITS`; texts that share no more than chance differ in 64. Texts that links of near
+rows join are a family; tasks merge their links to a forest, in two rounds, so that few rows say which texts are a family.
+
+The bit taken out lies in one half of the segment, and the other half is equal. So a row is dealt under each half of a
+segment, and its variants in the other half are made where it arrives: twice a segment, not twenty times.
 
 Within a family the shingle sets decide, of all pairs whose sizes allow the similarity and whose fingerprints differ in few
 enough of all bits. A task compares two blocks of a family and gives a forest of the links found, so no row is made for a
 pair. Its work grows with the square of a family; a node is dealt once for each block of its family.
 
-Texts with the same set are one node. Buckets over `bucket_rows` are dealt again as pairs of blocks.
+Texts with the same set are one node. Halves that too many rows share are dealt again by variants; variants that more than
+`bucket_rows` share are dealt again as pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, in_worker, parallelism, stored
@@ -26,7 +34,10 @@ from .components import components
 from .simhash import SEED, _merged
 
 WORDS = 20
-SEGMENT = 10
+#: Segments with variants, and the bits of half a segment.
+SEGMENTS, HALF = 32, 10
+#: Rows that share a half and are gathered, for each row that a variant's bucket may have.
+GATHERED = 16
 #: Of the first 128 bits; a pair with a similarity of 0.8 has 19 on average, with a deviation of 4.
 MAX_BITS = 34
 #: Of all bits, four deviations above the mean of a pair at 0.8: 194 for large sets and 206 at worst, but 240 for sets of four and five shingles.
@@ -72,10 +83,16 @@ def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
 
 
 def _keys(fps: np.ndarray) -> np.ndarray:
-    """Of each row of fingerprint bytes, the keys: a number of the pair of segments, and the bits of both."""
-    bits = np.unpackbits(fps, axis=1).reshape(len(fps), -1, SEGMENT)
-    values = bits.astype(np.int64) @ (1 << np.arange(SEGMENT, dtype=np.int64))
-    return (np.arange(values.shape[1]) << 2 * SEGMENT) | (values << SEGMENT) | np.roll(values, -1, axis=1)
+    """Of each row of fingerprint bytes, a key for each half of a segment: its number, its bits, and those of the other half."""
+    bits = np.unpackbits(fps, axis=1)[:, : SEGMENTS * 2 * HALF].reshape(len(fps), 2 * SEGMENTS, HALF)
+    values = bits.astype(np.int64) @ (1 << np.arange(HALF, dtype=np.int64))
+    halves = np.arange(2 * SEGMENTS)
+    return (halves << 2 * HALF) | (values << HALF) | values[:, halves ^ 1]
+
+
+def _variant(key: np.ndarray, bit: int) -> np.ndarray:
+    """The deletion variant of keys without a bit of the other half."""
+    return (key & ~(1 << bit)) << 4 | bit
 
 
 def _printed(shingle_words: int):
@@ -94,7 +111,7 @@ def _printed(shingle_words: int):
 
 
 def _dealt(batches):
-    """A row for each key of each node: (key, node, c0, c1), the last two the bits to compare."""
+    """A row for each half of a segment of each node: (key, node, c0, c1), the last two the bits to compare."""
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
@@ -127,70 +144,110 @@ def _forest(check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
 
 
+def _variants(batches):
+    """A row for each variant of each row."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            key = part.column(0).to_numpy()
+            keys = np.concatenate([_variant(key, bit) for bit in range(HALF)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.concat_arrays([part.column(c)] * HALF) for c in range(1, 4))], part.schema.names)
+
+
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 #: Links that a task holds before it merges them.
 HELD = 1 << 20
 
 
-def _compare(bucket_rows: int):
-    """Over rows sorted by key: a forest of the near nodes as (a, b, null); of buckets that are too large (null, null, key)."""
+class _Links:
+    """Links that are merged to a forest when many are held."""
+
+    def __init__(self):
+        self.a, self.b, self.count = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray):
+        self.a.append(a)
+        self.b.append(b)
+        self.count += len(a)
+        if self.count > HELD:
+            yield self.forest()
+
+    def forest(self) -> pa.RecordBatch:
+        a, b = _merged(np.concatenate([np.empty(0, np.int64), *self.a]), np.concatenate([np.empty(0, np.int64), *self.b]))
+        self.a, self.b, self.count = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=_FOUND)
+
+
+def _merge(batches):
+    """A forest of links (a, b)."""
+    links = _Links()
+    for batch in batches:
+        yield from links.add(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    yield links.forest()
+
+
+def _compare(bucket_rows: int, shift: int):
+    """Over rows sorted by key: a forest of the near nodes as (a, b, null); of buckets that are too large (null, null, bucket).
+
+    With a shift of 0 rows come by variants and a bucket is a variant. Else it is a key without its last bits, those of the other
+    half: its rows are compared under each variant, and it is too large if one of its variants is, or if it can't be gathered.
+    """
+    most = bucket_rows * GATHERED if shift else bucket_rows
+
+    def work(key, node, c0, c1, over):
+        """The links within equal keys."""
+        check = np.stack([c0, c1], axis=1)
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(edge, len(key)))
+        row = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+        end = np.repeat(edge + size, size)[row]
+        for lag in range(1, SMALL):
+            inside = row + lag < end
+            row, end = row[inside], end[inside]
+            if not len(row):
+                break
+            near = _bits(check[row], check[row + lag]) <= MAX_BITS
+            yield node[row[near]], node[row[near] + lag]
+        for s, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            if n > bucket_rows:
+                over.add(int(key[s]) >> shift)
+                continue
+            x, y = _forest(check[s : s + n])
+            yield node[s + x], node[s + y]
 
     def run(batches):
         rest = [np.empty(0, np.int64)] * 4
-        over, held, count = set(), [], 0
-
-        def merged():
-            a, b = _merged(*map(np.concatenate, zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=_FOUND)
-
-        def work(key, node, c0, c1):
-            check = np.stack([c0, c1], axis=1)
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(edge, len(key)))
-            row = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-            end = np.repeat(edge + size, size)[row]
-            pairs_a, pairs_b, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-            for lag in range(1, SMALL):
-                inside = row + lag < end
-                row, end = row[inside], end[inside]
-                if not len(row):
-                    break
-                near = _bits(check[row], check[row + lag]) <= MAX_BITS
-                pairs_a.append(node[row[near]])
-                pairs_b.append(node[row[near] + lag])
-            for s, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                if n > bucket_rows:
-                    far.append(int(key[s]))
-                    continue
-                x, y = _forest(check[s : s + n])
-                pairs_a.append(node[s + x])
-                pairs_b.append(node[s + y])
-            over.update(far)
-            return np.concatenate(pairs_a), np.concatenate(pairs_b)
+        over, links = set(), _Links()
+
+        def done(rows):
+            if not shift:
+                ordered = [rows]
+            else:  # the bit taken out is zero in all
+                cleared = ((rows[0] & ~(1 << bit), *rows[1:]) for bit in range(HALF))
+                ordered = ([c[o] for c in rows] for rows in cleared for o in [np.argsort(rows[0], kind="stable")])
+            for part in ordered:
+                for a, b in work(*part, over):
+                    yield from links.add(a, b)
 
         for batch in batches:
             rows = [np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest)]
             if not len(rows[0]):
                 continue
-            if int(rows[0][-1]) in over:  # the rest of a bucket that is too large isn't gathered
-                rows = [c[rows[0] != rows[0][-1]] for c in rows]
+            bucket = rows[0] >> shift
+            if int(bucket[-1]) in over:  # the rest of a bucket that is too large isn't gathered
+                rows = [c[bucket != bucket[-1]] for c in rows]
                 last = len(rows[0])
             else:
-                last = int(np.searchsorted(rows[0], rows[0][-1]))
-                if len(rows[0]) - last > bucket_rows:
-                    over.add(int(rows[0][-1]))
+                last = int(np.searchsorted(bucket, bucket[-1]))
+                if len(bucket) - last > most:
+                    over.add(int(bucket[-1]))
                     rows = [c[:last] for c in rows]
             rest = [c[last:] for c in rows]
             if last:
-                held.append(work(*(c[:last] for c in rows)))
-                count += len(held[-1][0])
-            if count > HELD:
-                yield merged()
-                held, count = [], 0
+                yield from done([c[:last] for c in rows])
         if len(rest[0]):
-            held.append(work(*rest))
-        if held:
-            yield merged()
+            yield from done(rest)
+        yield links.forest()
         if over:
             n = len(over)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(sorted(over), pa.int64())], schema=_FOUND)
@@ -216,6 +273,15 @@ def _dealt_in_pairs(rows: DataFrame, by: str, blocks: DataFrame) -> DataFrame:
     )
 
 
+def _met(rows: DataFrame, bucket: Column, compare: Callable) -> tuple[DataFrame, DataFrame | None]:
+    """The links of rows that meet in a bucket, and the rows of buckets that are too large, if there are any."""
+    met = rows.repartition(parallelism(rows.sparkSession), bucket).sortWithinPartitions("key").mapInArrow(in_worker(compare), "a bigint, b bigint, key bigint")
+    met = cut(met)
+    hot = met.where("key is not null").select(F.col("key").alias("bucket")).distinct()
+    large = None if hot.isEmpty() else cut(rows.join(hot, bucket == F.col("bucket"), "left_semi"))
+    return met.where("a is not null").select("a", "b"), large
+
+
 def _similar(similarity: float):
     """A forest of the links between two blocks of a family (or within one): the sets are compared of pairs not yet joined."""
 
@@ -271,13 +337,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = stored(rows.mapInArrow(in_worker(_printed(shingle_words)), "doc_id bigint, h bigint, node bigint, fp array<bigint>, size int"), "near-prints")
     nodes = stored(prints.where("node <> 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size")), "near-nodes")
     keyed = nodes.select("node", "fp").mapInArrow(in_worker(_dealt), "key bigint, node bigint, c0 bigint, c1 bigint")
-    met = cut(keyed.repartition(parallelism(spark), "key").sortWithinPartitions("key").mapInArrow(in_worker(_compare(bucket_rows)), "a bigint, b bigint, key bigint"))
-    near = met.where("a is not null").select("a", "b")
-    hot = cut(met.where("key is not null").select("key").distinct())
-    if not hot.isEmpty():
-        large = cut(keyed.join(hot, "key", "left_semi"))
+    half = F.shiftright("key", HALF)
+    near, large = _met(keyed, half, _compare(bucket_rows, HALF))
+    if large is not None:
+        by_variant = large.mapInArrow(in_worker(_variants), keyed.schema)
+        found, large = _met(by_variant, F.col("key"), _compare(bucket_rows, 0))
+        near = near.union(found)
+    if large is not None:
         blocks = large.groupBy("key").count().select("key", F.ceil(F.col("count") * 2 / bucket_rows).cast("int").alias("blocks"))
         near = near.union(_dealt_in_pairs(large, "key", blocks).groupBy("key", "i", "j").applyInArrow(_of_blocks, "a bigint, b bigint"))
+    # links of a family are found in many tasks: some of these together need no more rows than one
+    near = near.coalesce(1 + math.isqrt(near.rdd.getNumPartitions())).mapInArrow(in_worker(_merge), "a bigint, b bigint, key bigint").select("a", "b")
     families = components(near).withColumnRenamed("root", "family")
     # one text of each node: those with the same set need not be the same text
     one = nodes.join(families, "node").join(prints.groupBy("node").agg(F.min("h").alias("h")), "node")

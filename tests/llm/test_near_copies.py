@@ -54,3 +54,27 @@ def test_stage_drops_copies_of_more_than_four_bits(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert simhash.near_duplicates(df).where("doc_id <> component_id").count() < 20
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()) == list(range(20))
+
+
+def test_segments_meet_under_deletion_variants(spark):
+    """Two segments of a fingerprint that differ in a bit are compared, whatever the bit; those that differ in two are not."""
+    import numpy as np
+    import pyarrow as pa
+
+    segment, rng = 2 * near_copies.HALF, np.random.default_rng(3)
+    base = rng.integers(0, 2, 1280).astype(np.uint8)
+
+    def met(flips, shift, most=100):
+        """Whether a fingerprint meets base in its second segment; the others differ in two bits each."""
+        other = base.copy()
+        for s in range(near_copies.SEGMENTS):
+            other[[s * segment + bit for bit in (flips if s == 1 else [3, 14])]] ^= 1
+        fps = [np.packbits(x).view(np.int64) for x in (base, other)]
+        dealt = list(near_copies._dealt([pa.record_batch([pa.array([5, 9]), pa.array(fps, pa.list_(pa.int64()))], ["node", "fp"])]))
+        rows = pa.Table.from_batches(dealt if shift else near_copies._variants(dealt)).sort_by("key")
+        found = pa.Table.from_batches(near_copies._compare(most, shift)(rows.to_batches(max_chunksize=7)))
+        return {(r["a"], r["b"]) for r in found.to_pylist()} == {(9, 5)}
+
+    for shift in (near_copies.HALF, 0):
+        assert all(met([bit], shift) for bit in range(segment)) and met([], shift)
+        assert not met([2, 3], shift) and not met([9, 10], shift)
