@@ -21,8 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut batches for Python workers by bytes: rows are whole texts, and a task holds a batch on either side and in the allocators' pools."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not re.fullmatch(r"\d+b?", now) or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so that no other column can clash. A null text is empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -65,6 +78,7 @@ def _clear() -> None:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is removed with the open workspace, else at the end of the program."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _at_exit[path] = spark
     if _open:

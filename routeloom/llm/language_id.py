@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker, keyed_texts
+from .common import bound_batches, in_worker, keyed_texts
 
 BEGIN = "▁"
 UNDETERMINED = "und"
@@ -287,6 +287,7 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text", least_scor
 
     The rows pass through the prediction, so no join or shuffle is needed.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = rows.mapInArrow(in_worker(_predict(model, 0, 1, ["row", "lang_pred", "score"]), Scorer), f"row {docs.schema.simpleString()}, lang_pred string, score double")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

@@ -571,3 +571,18 @@ def test_sanitise_terms(spark):
     assert found[91].added == [] and found[91].base == []
     clean = {r.doc_id: r.text for r in sanitise.sanitised(df, limits=sanitise.Thresholds(least_texts=3)).collect()}
     assert clean[0] == "note 0 ask qui*  at [EMAIL] soon, number 0" and clean[91] == "Quillon alone" and clean[90] is None and len(clean) == len(rows)
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """Batches for Python workers are cut by bytes, not only by rows."""
+    import pyarrow as pa
+
+    from routeloom.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 2000) as text")
+    found = [r.n for r in common.keyed_texts(docs).mapInArrow(sizes, "n bigint").collect()]
+    assert len(found) > 5 and max(found) < 2 * common.BATCH_BYTES
