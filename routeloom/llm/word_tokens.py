@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -65,47 +66,50 @@ class WordEncoder:
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) > CACHE_ENTRIES:
+    def _learn(self, words: set[bytes], turn: bool) -> None:
+        """Puts words that the younger half of the cache doesn't have into it; in turn, the younger half may become the older one."""
+        if turn and len(self.young) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        plain, other = {}, []
-        for w in words:
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-                continue
-            text = w.decode()
-            stem, mark = (text[:-1], text[-1]) if text[-1] in CLOSING else (text, "")
+        again = words & old.keys()
+        young.update(zip(again, map(old.__getitem__, again)))
+        new = list(words - again)
+        plain, stems, marks, other = [], [], [], []
+        for w, text in zip(new, b" ".join(new).decode().split(" ")):
+            mark = text[-1:]
+            if mark in CLOSING:
+                stem = text[:-1]
+            else:
+                stem, mark = text, ""
             # Letters that have no other form when composed and whose case does not depend on their neighbours
             # are encoded in lower case, and a closing mark apart.
-            if stem.isalpha() and max(stem) < FIRST_ODD:
-                plain[w] = (stem.lower(), mark)
+            if stem.isalpha() and (stem.isascii() or max(stem) < FIRST_ODD):
+                plain.append(w)
+                stems.append(stem.lower())
+                marks.append(mark)
             else:
-                other.append(text)
-        known: dict[str, bytes] = {}
-        for stem in {s for s, _ in plain.values()}:
-            key = stem.encode()
-            if (ids := young.get(key) or old.get(key)) is not None:
-                known[stem] = ids
-        stems = [s for s in {s for s, _ in plain.values()} if s not in known]
-        known.update(zip(stems, self._stretches(stems)))
-        for w, (stem, mark) in plain.items():
-            young[w] = known[stem] + self.marks[mark]
+                other.append(w)
+        different = list(set(stems))
+        known = {stem: young.get(key) or old.get(key) for stem, key in zip(different, " ".join(different).encode().split(b" "))}
+        unknown = [stem for stem in different if known[stem] is None]
+        known.update(zip(unknown, self._stretches(unknown)))
+        mark_ids = self.marks
+        young.update((w, known[stem] + mark_ids[mark] if mark else known[stem]) for w, stem, mark in zip(plain, stems, marks))
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
-            young.update(zip([w.encode() for w in part], self._each(part)))
+            young.update(zip(part, self._each([w.decode() for w in part])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; texts together should be of about PIECE_BYTES."""
         split = [t.split() for t in texts]
-        words = set().union(*split)
-        words.difference_update(self.young)
-        if words:
-            self._learn(words)
-            # a new generation may have begun
-            missing = set().union(*split).difference(self.young)
-            if missing:
-                self._learn(missing)
+        for turn in (True, False):  # a new generation may begin when words are learned
+            missing = set(filterfalse(self.young.__contains__, chain.from_iterable(split)))
+            if not missing:
+                break
+            young = self.young
+            self._learn(missing, turn)
+            if self.young is young:
+                break
         ids = self.young.__getitem__
         return [b"".join(map(ids, s)) for s in split]
 

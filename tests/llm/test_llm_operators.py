@@ -586,3 +586,19 @@ def test_batches_of_texts_are_bounded(spark):
     docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 2000) as text")
     found = [r.n for r in common.keyed_texts(docs).mapInArrow(sizes, "n bigint").collect()]
     assert len(found) > 5 and max(found) < 2 * common.BATCH_BYTES
+
+
+def test_word_ids_through_generations_of_the_cache(monkeypatch):
+    """The library's ids also when a text has more new words than the cache has room for."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from routeloom.llm import word_tokens
+
+    texts = ["Anly anly, ANLY. anly é. É straße, 12, x. . ,", "anly. thonre, Thonre", "a\n\nb  c  d", "other words, here.", "thonre anly here"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(word_tokens, "CACHE_ENTRIES", 5)
+    encoder, library = word_tokens.WordEncoder(path), Tokenizer.from_file(path)
+    for text in texts * 2:
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
