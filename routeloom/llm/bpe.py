@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import accumulate, chain, filterfalse, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +116,8 @@ class Codec:
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given ORDER BY 1")
             self.db.unregister("given")
+        # what is added to the ids of a word by a mark after it
+        self.marks = {mark: f" {ranks[mark.encode()]}" for mark in ".,"}
         # a word's ids as text, under the word without the space before it, for words after one space; and under the word as it stands
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
@@ -164,39 +168,65 @@ class Codec:
                 out[part[i]] = t[a:b]
             w, p, t = w[~done], p[~done], t[~done]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str], turn: bool) -> None:
         """Puts pieces of text (words and marks without white space at either end) into the cache, each with a space before it."""
-        if len(self.young) > CACHE_ENTRIES:
+        if turn and len(self.young) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
-        cut = {}
-        for piece in pieces:
-            ids = self.old.get(piece)
-            if ids is not None:
-                self.young[piece] = ids
+        young, old = self.young, self.old
+        again = pieces & old.keys()
+        young.update(zip(again, map(old.__getitem__, again)))
+        marks, find = self.marks, self.find
+        stems, marked, cut = set(), [], {}
+        for piece in pieces - again:
+            # letters after a space are one word, and a mark after them is another
+            if piece.isascii() and piece.isalpha():
+                stems.add(piece)
+            elif (ending := marks.get(piece[-1])) is not None and (stem := piece[:-1]).isascii() and stem.isalpha():
+                stems.add(stem)
+                marked.append((piece, stem, ending))
             else:
-                # letters after a space are one word
-                cut[piece] = [" " + piece] if piece.isascii() and piece.isalpha() else self.find(" " + piece)
-        words = list({w for found in cut.values() for w in found})
-        ids = {w: " ".join(map(str, i.tolist())) for w, i in zip(words, self.encode_words([w.encode() for w in words]))}
-        for piece, found in cut.items():
-            self.young[piece] = " ".join([ids[w] for w in found])
+                cut[piece] = find(" " + piece)
+        # a word without its mark may be known
+        for stem in stems & old.keys():
+            young.setdefault(stem, old[stem])
+        stems -= young.keys()
+        new = list({" " + stem for stem in stems}.union(*cut.values()))
+        ids = dict(zip(new, self._texts(new)))
+        young.update((stem, ids[" " + stem]) for stem in stems)
+        young.update((piece, young[stem] + ending) for piece, stem, ending in marked)
+        young.update((piece, " ".join([ids[w] for w in found])) for piece, found in cut.items())
+
+    def _texts(self, words: list[str]) -> list[str]:
+        """The ids of each word, as decimal numbers joined by spaces."""
+        found = self.encode_words([w.encode() for w in words])
+        numbers = list(map(str, np.concatenate([np.empty(0, np.int32), *found]).tolist()))
+        ends = list(accumulate(map(len, found)))
+        return [" ".join(numbers[a:b]) for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text, as decimal numbers joined by spaces."""
         # A single space between two other characters always begins a word, so texts are cut there: pieces after a space
         # go through the cache. Other texts (white space in a row) are cut by the pattern.
-        split = [t.split(" ") for t in texts]
-        plain = [all(s) and not any(map(str.isspace, {c for x in s for c in (x[0], x[-1])})) if (s := x) != [""] else False for x in split]
-        words = set().union(*(s[1:] for s, ok in zip(split, plain) if ok))
-        words.difference_update(self.young)
-        if words:
-            self._learn(words)
-            missing = set().union(*(s[1:] for s, ok in zip(split, plain) if ok)).difference(self.young)
-            if missing:  # a new generation of the cache has begun
-                self._learn(missing)
+        split, plain = [], []
+        for t in texts:
+            s = t.split()
+            if not s or " ".join(s) != t:  # other white space than single spaces
+                s = t.split(" ")
+                plain.append(s != [""] and all(s) and not any(map(str.isspace, {*map(itemgetter(0), s), *map(itemgetter(-1), s)})))
+            else:
+                plain.append(True)
+            split.append(s)
+        for turn in (True, False):  # a new generation of the cache may begin when pieces are learned
+            missing = set(filterfalse(self.young.__contains__, chain.from_iterable(islice(s, 1, None) for s, ok in zip(split, plain) if ok)))
+            if not missing:
+                break
+            young = self.young
+            self._learn(missing, turn)
+            if self.young is young:
+                break
         rest = [self.find(s[0]) if ok else self.find(t) for t, s, ok in zip(texts, split, plain)]
         different = list({w for found in rest for w in found})
-        ids = {w: " ".join(map(str, i.tolist())) for w, i in zip(different, self.encode_words([w.encode() for w in different]))}
+        ids = dict(zip(different, self._texts(different)))
         known, out = self.young.__getitem__, []
         for s, ok, found in zip(split, plain, rest):
             first = " ".join([ids[w] for w in found])

@@ -602,3 +602,17 @@ def test_word_ids_through_generations_of_the_cache(monkeypatch):
     encoder, library = word_tokens.WordEncoder(path), Tokenizer.from_file(path)
     for text in texts * 2:
         assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_words_are_encoded_once_with_and_without_a_mark(monkeypatch):
+    import public_tokenizers
+
+    from routeloom.llm import bpe
+
+    texts = ["Anly anly, ANLY. anly é. É straße, 12, x. . ,", "anly. thonre, Thonre", "a\n\nb  c  d", "other words, here.", "thonre anly here"]
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    asked, of_words = [], codec.encode_words
+    monkeypatch.setattr(codec, "encode_words", lambda words: asked.extend(words) or of_words(words))
+    for text in texts:
+        assert codec.encode([text]) == [" ".join(str(i) for w in codec.find(text) for i in of_words([w.encode()])[0].tolist())]
+    assert asked.count(b" anly") == asked.count(b" here") == 1
