@@ -6,24 +6,27 @@ blocks of `block_ids`; a block has a table of the documents that have ids in it,
 of its ids, and one of its bytes (see range_coder.pack for the layout). The blocks are the
 rows of Parquet files in the shared folder, which any store that Spark writes to can hold;
 (task, block) orders them. Each block is read and checked without any other.
+
+Blocks are coded in the JVM by BlockCoder.java, which gives the bytes of range_coder.
 """
 
 from __future__ import annotations
 
-import zlib
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import range_coder
+from . import jvm, range_coder
 from .common import cut, in_worker, keyed_texts, new_folder, parallelism
 from .word_tokens import WordEncoder, encoded
 
-#: Blocks that are coded in step.
-LANES = 2048
+#: Blocks that go from a Python worker to the JVM at once.
+BATCH_BLOCKS = 128
+CODER = "BlockCoder.java"
+PARTS = "array<struct<place: int, before: int, doc_id: bigint, n: int, crc: bigint, first: boolean, last: boolean>>"
 
 CRC_POLYNOMIAL = 0xEDB88320
 
@@ -38,55 +41,63 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-def joined_crc(first: int, second: int, second_bytes: int) -> int:
-    """The CRC-32 of two stretches of bytes, from those of each and the second's length."""
-    shift, power, n = 1 << 31, 1 << 23, second_bytes  # x^0, and x^8 for one byte
+@lru_cache(1 << 14)
+def _shift(n: int) -> int:
+    """x to the power of the bits of n bytes."""
+    shift, power = 1 << 31, 1 << 23  # x^0, and x^8 for one byte
     while n:
         if n & 1:
             shift = _times(shift, power)
         power = _times(power, power)
         n >>= 1
-    return _times(shift, first) ^ second
+    return shift
+
+
+def joined_crc(first: int, second: int, second_bytes: int) -> int:
+    """The CRC-32 of two stretches of bytes, from those of each and the second's length."""
+    return _times(_shift(second_bytes), first) ^ second
 
 
 def _encode(path: str, end_id: int, block_ids: int):
-    names = ["task", "block", "n_ids", "data"]
+    names = ["task", "block", "start", "n_ids", "table", "ids"]
 
     def run(batches):
         encoder, task = WordEncoder.of(path), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
-        block, full, open_entries, open_parts, room = 0, [], [], [], block_ids
+        entry = range_coder.ENTRY.pack
+        block, full, table, ids_of, room = 0, [], [], [], block_ids
 
         def emit():
             nonlocal block
-            coded = range_coder.encode_blocks([ids for _, ids in full])
-            data = [range_coder.pack(entries, ids, c) for (entries, ids), c in zip(full, coded)]
-            n = len(full)
-            out = [pa.array([task] * n, pa.int32()), pa.array(range(block, block + n), pa.int64()), pa.array([len(ids) for _, ids in full], pa.int64()), pa.array(data, pa.binary())]
+            tables, ids = zip(*full)
+            n, start = len(full), range(block * block_ids, (block + len(full)) * block_ids, block_ids)
+            out = [pa.array([task] * n, pa.int32()), pa.array(range(block, block + n), pa.int64()), pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in ids], pa.int64()), pa.array(tables, pa.binary()), pa.array(ids, pa.binary())]
             block += n
             full.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
         def close():
-            nonlocal open_entries, open_parts, room
-            full.append((open_entries, np.frombuffer(b"".join(open_parts), "<u4")))
-            open_entries, open_parts, room = [], [], block_ids
+            nonlocal table, ids_of, room
+            full.append((b"".join(table), b"".join(ids_of)))
+            table, ids_of, room = [], [], block_ids
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for row, ids in encoded(batch, encoder):
                 ids += end
+                doc_id = doc_ids[row]
                 at, n = 0, len(ids) // 4
+                whose, has_id = (0, 0) if doc_id is None else (doc_id, range_coder.HAS_ID)
                 while at < n:
                     take = min(room, n - at)
-                    open_entries.append((doc_ids[row], take, at == 0, at + take == n))
-                    open_parts.append(ids[4 * at : 4 * (at + take)])
+                    table.append(entry(whose, take, has_id | (at == 0) * range_coder.FIRST | (at + take == n) * range_coder.LAST))
+                    ids_of.append(ids[4 * at : 4 * (at + take)])
                     at, room = at + take, room - take
                     if not room:
                         close()
-                        if len(full) >= LANES:
+                        if len(full) >= BATCH_BLOCKS:
                             yield emit()
-        if open_entries:
+        if table:
             close()
         if full:
             yield emit()
@@ -100,40 +111,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     Null and empty texts have their end id only. Null ids come first; rows with the same id are ordered by their texts'
     hashes. An empty table writes no block. Other columns are ignored. Ids must be below 65536.
     """
-    texts = keyed_texts(docs, id_col, text_col)
-    order = texts.repartitionByRange(files or parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    order.mapInArrow(in_worker(_encode(tokenizer_path, end_id, block_ids), WordEncoder), "task int, block bigint, n_ids bigint, data binary").write.parquet(path)
-
-
-def _parts(batches):
-    """The documents' parts in each block: (task, block, place, doc_id, n, crc, first, last)."""
-    names = ["task", "block", "place", "doc_id", "n", "crc", "first", "last"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-    for batch in batches:
-        for a in range(0, batch.num_rows, LANES):
-            rows = batch.slice(a, LANES)
-            blocks = [range_coder.unpack(d.as_py()) for d in rows.column("data")]
-            out = []
-            ids_of = range_coder.decode_blocks([b[3] for b in blocks], [b[1] for b in blocks])
-            for task, block, (entries, _, crc, _), ids in zip(rows.column("task").to_pylist(), rows.column("block").to_pylist(), blocks, ids_of):
-                data, at = ids.astype("<u4").tobytes(), 0
-                if zlib.crc32(data) != crc:
-                    raise ValueError("a block's ids are damaged")
-                for place, (doc_id, n, first, last) in enumerate(entries):
-                    out.append((task, block, place, doc_id, n, zlib.crc32(data[4 * at : 4 * (at + n)]), first, last))
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+    spark, texts = docs.sparkSession, keyed_texts(docs, id_col, text_col)
+    order = texts.repartitionByRange(files or parallelism(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    blocks = order.mapInArrow(in_worker(_encode(tokenizer_path, end_id, block_ids), WordEncoder), "task int, block bigint, start bigint, n_ids bigint, table binary, ids binary")
+    pack = jvm.function(spark, CODER, "routeloom.BlockCoder$Pack", "binary")
+    blocks.select("task", "block", "start", "n_ids", pack("table", "ids").alias("data")).write.parquet(path)
 
 
 def _join(batches):
-    """Whole documents from their parts, which come in order: (task, block, place, doc_id, n_tokens, ids_crc32)."""
-    names = ["task", "block", "place", "doc_id", "n_tokens", "ids_crc32"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    """Whole documents from their parts, which come in order: (task, start, doc_id, n_tokens, ids_crc32)."""
+    names = ["task", "start", "doc_id", "n_tokens", "ids_crc32"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     begun = None
     for batch in batches:
         out = []
-        for task, block, place, doc_id, n, crc, first, last in zip(*(batch.column(k).to_pylist() for k in range(8))):
-            begun = [task, block, place, doc_id, n, crc] if first else [*begun[:4], begun[4] + n, joined_crc(begun[5], crc, 4 * n)]
+        for task, start, doc_id, n, crc, first, last in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            begun = [task, start, doc_id, n, crc] if first else [*begun[:3], begun[3] + n, joined_crc(begun[4], crc, 4 * n)]
             if last:
                 out.append(begun)
         if out:
@@ -145,22 +138,18 @@ def read(spark, path: str) -> DataFrame:
 
     A damaged block stops the read with an error.
     """
-    blocks = spark.read.parquet(path)
-    parts = cut(blocks.select("task", "block", "data").mapInArrow(in_worker(_parts), "task int, block bigint, place int, doc_id bigint, n bigint, crc bigint, first boolean, last boolean"))
-    whole = parts.where("first and last").selectExpr("task", "block", "place", "doc_id", "n as n_tokens", "crc as ids_crc32")
+    unpack = jvm.function(spark, CODER, "routeloom.BlockCoder$Unpack", PARTS)
+    blocks = spark.read.parquet(path).select("task", "block", "start", unpack("data").alias("parts"))
+    # start: ids before a part in its file
+    parts = blocks.selectExpr("task", "block", "start as block_start", "inline(parts)")
+    parts = cut(parts.selectExpr("task", "block", "place", "block_start + before as start", "doc_id", "cast(n as bigint) as n", "crc", "first", "last"))
+    whole = parts.where("first and last").selectExpr("task", "start", "doc_id", "n as n_tokens", "crc as ids_crc32")
     # documents over several blocks: a file's few such parts in order
     split = parts.where("not (first and last)").repartition("task").sortWithinPartitions("task", "block", "place")
-    split = split.mapInArrow(_join, "task int, block bigint, place int, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
-    # ids before a file, before a block of it, and before a document's first part in its block
+    split = split.select("task", "start", "doc_id", "n", "crc", "first", "last").mapInArrow(_join, "task int, start bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
     files = parts.groupBy("task").agg(F.sum("n").alias("ids")).selectExpr("task as t", "sum(ids) over (order by task rows unbounded preceding) - ids as before_file")
-    before_block = "sum(n_block) over (partition by task order by block rows unbounded preceding) - n_block as before_block"
-    of_block = parts.groupBy("task", "block").agg(F.sum("n").alias("n_block")).selectExpr("task as bt", "block as bb", before_block)
-    before = "sum(n) over (partition by task, block order by place rows unbounded preceding) - n as before"
-    firsts = parts.selectExpr("task as ft", "block as fb", "place as fp", before, "first").where("first")
-    docs = whole.union(split)
-    out = docs.join(firsts, (F.col("task") == F.col("ft")) & (F.col("block") == F.col("fb")) & (F.col("place") == F.col("fp")))
-    out = out.join(of_block, (F.col("task") == F.col("bt")) & (F.col("block") == F.col("bb"))).join(files, F.col("task") == F.col("t"))
-    return out.select("doc_id", (F.col("before_file") + F.col("before_block") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    out = whole.union(split).join(F.broadcast(files), F.col("task") == F.col("t"))
+    return out.select("doc_id", (F.col("before_file") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def new_path(spark) -> str:
