@@ -1,10 +1,11 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps.
 
-Both steps are a grouped minimum (combined before the shuffle) and a join with the
-edges; no neighbour list is ever gathered. Nodes with more than a five-hundredth of all
-edges, of which there are at most 1,000, get their minimum by a broadcast, so that the
-centre of a large star is not one task's work. The number of rounds grows with the
-logarithm of the longest path. Each round is cut by a reliable checkpoint.
+Edges go from the larger node to the smaller one, so a node's least neighbour is known from the edges it is the larger end of:
+a large-star step makes one row of an edge, a small-star step at most one of an edge and one of a node, and no edge is listed
+in both directions. Both steps are a grouped minimum (combined before the shuffle) and a join with the edges; no neighbour
+list is ever gathered. Nodes with more than a five-hundredth of all edges, of which there are at most 500, get their minimum
+by a broadcast, so that the centre of a large star is not one task's work. The number of rounds grows with the logarithm of
+the longest path. Each round is cut by a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -14,40 +15,35 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    ends = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return edges.select(F.explode(ends).alias("e")).select("e.a", "e.b")
-
-
 #: A node is a centre if it has more than this share of the edges, and at least so many.
 CENTRE_SHARE, CENTRE_LEAST = 500, 1000
 
 
-def _with_least(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
-    """rows(a, b) with m of low(n, m, degree) for their a. The degrees add up to twice the number of edges at most."""
-    limit = max(CENTRE_LEAST, edges // CENTRE_SHARE)
-    centres = F.broadcast(low.where(F.col("degree") > limit).drop("degree"))  # at most 2 * CENTRE_SHARE rows
-    others = low.where(F.col("degree") <= limit).drop("degree")
-    on = F.col("a") == F.col("n")
-    return rows.join(centres, on).union(rows.join(centres, on, "left_anti").join(others, on))
+def _least(edges: DataFrame) -> DataFrame:
+    """(n, m): the least neighbour of each node that is the larger end of an edge. Any other node is smaller than its neighbours."""
+    return edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+
+
+def _with_least(edges: DataFrame, end: str, low: DataFrame, count: int) -> DataFrame:
+    """edges(a, b) with m of low(n, m) for the node at that end, null for a node without one."""
+    limit = max(CENTRE_LEAST, count // CENTRE_SHARE)
+    centres = edges.groupBy(F.col(end).alias("n")).agg(F.count("*").alias("degree")).where(F.col("degree") > limit).select("n")
+    centres = F.broadcast(centres.join(low, "n", "left"))  # at most CENTRE_SHARE rows
+    on = F.col(end) == F.col("n")
+    return edges.join(centres, on).union(edges.join(centres, on, "left_anti").join(low, on, "left"))
 
 
 def _large_star(edges: DataFrame, count: int) -> DataFrame:
-    """Link each larger neighbour of a node to the smallest of the node and its neighbours."""
-    near = _both_ways(edges)
-    low = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"), "degree")
-    out = _with_least(near.where("b > a"), low, count)
-    return out.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    """Link each larger neighbour of a node to the smallest of the node and its neighbours. Edges have a > b."""
+    out = _with_least(edges, "b", _least(edges), count)
+    return out.select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of those. Edges have a > b."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("n"), "m", "degree")
-    moved = _with_least(edges, low, count).select(
-        F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")
-    )
-    return moved.select("e.a", "e.b").where("a <> b").distinct()
+    low = _least(edges)
+    moved = _with_least(edges, "a", low, count).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(low.select("n", "m")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

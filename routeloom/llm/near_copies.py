@@ -155,6 +155,7 @@ def _variants(batches):
 
 
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+_FOUND_TYPE = "a bigint, b bigint, key bigint"
 #: Links that a task holds before it merges them.
 HELD = 1 << 20
 
@@ -186,6 +187,21 @@ def _merge(batches):
     yield links.forest()
 
 
+def _merged_links(links: DataFrame) -> DataFrame:
+    """A forest of each task's links (a, b)."""
+    return links.mapInArrow(in_worker(_merge), _FOUND_TYPE).select("a", "b")
+
+
+def _fewer(links: DataFrame) -> DataFrame:
+    """Of checkpointed links: links of a family are found in many tasks, and some of these together need no more rows than one."""
+    return _merged_links(links.coalesce(1 + math.isqrt(links.rdd.getNumPartitions())))
+
+
+def _of_pairs(dealt: DataFrame, by: str, compare: Callable) -> DataFrame:
+    """The links of pairs of blocks: a forest of each task's, as the forests of all pairs would grow with the square of a group."""
+    return cut(_merged_links(dealt.groupBy(by, "i", "j").applyInArrow(compare, "a bigint, b bigint")))
+
+
 def _compare(bucket_rows: int, shift: int):
     """Over rows sorted by key: a forest of the near nodes as (a, b, null); of buckets that are too large (null, null, bucket).
 
@@ -263,19 +279,23 @@ def _of_blocks(key, rows):
 
 
 def _dealt_in_pairs(rows: DataFrame, by: str, blocks: DataFrame) -> DataFrame:
-    """rows with own, the block of a node, and i <= j, a pair of blocks; blocks(by, blocks) is their number."""
+    """rows with own, the block of a node, and i <= j, a pair of blocks; blocks(by, blocks) is their number.
+
+    Dealt by all three: a grouping takes rows that the join has dealt by `by` as they are, and would have all pairs in one task.
+    """
     return (
         rows.join(blocks, by)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
+        .repartition(by, "i", "j")
     )
 
 
 def _met(rows: DataFrame, bucket: Column, compare: Callable) -> tuple[DataFrame, DataFrame | None]:
     """The links of rows that meet in a bucket, and the rows of buckets that are too large, if there are any."""
-    met = rows.repartition(parallelism(rows.sparkSession), bucket).sortWithinPartitions("key").mapInArrow(in_worker(compare), "a bigint, b bigint, key bigint")
+    met = rows.repartition(parallelism(rows.sparkSession), bucket).sortWithinPartitions("key").mapInArrow(in_worker(compare), _FOUND_TYPE)
     met = cut(met)
     hot = met.where("key is not null").select(F.col("key").alias("bucket")).distinct()
     large = None if hot.isEmpty() else cut(rows.join(hot, bucket == F.col("bucket"), "left_semi"))
@@ -345,17 +365,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = near.union(found)
     if large is not None:
         blocks = large.groupBy("key").count().select("key", F.ceil(F.col("count") * 2 / bucket_rows).cast("int").alias("blocks"))
-        near = near.union(_dealt_in_pairs(large, "key", blocks).groupBy("key", "i", "j").applyInArrow(_of_blocks, "a bigint, b bigint"))
-    # links of a family are found in many tasks: some of these together need no more rows than one
-    near = near.coalesce(1 + math.isqrt(near.rdd.getNumPartitions())).mapInArrow(in_worker(_merge), "a bigint, b bigint, key bigint").select("a", "b")
-    families = components(near).withColumnRenamed("root", "family")
+        near = near.union(_of_pairs(_dealt_in_pairs(large, "key", blocks), "key", _of_blocks))
+    families = components(_fewer(near)).withColumnRenamed("root", "family")
     # one text of each node: those with the same set need not be the same text
     one = nodes.join(families, "node").join(prints.groupBy("node").agg(F.min("h").alias("h")), "node")
     members = rows.select("h", "text").join(one, "h").dropDuplicates(["node"]).select("family", "node", "fp", "size", "text")
     members = stored(members.mapInArrow(in_worker(_sets(shingle_words)), "family bigint, node bigint, fp array<bigint>, size int, s array<bigint>"), "near-sets")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     dealt = _dealt_in_pairs(members, "family", members.groupBy("family").agg(blocks))
-    roots = components(dealt.groupBy("family", "i", "j").applyInArrow(_similar(similarity), "a bigint, b bigint"))
+    roots = components(_fewer(_of_pairs(dealt, "family", _similar(similarity))))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")  # rows without an id come last
     classes = prints.groupBy("node").agg(F.min(own).alias("least"), F.count("*").alias("rows"))
     member = cut(classes.join(roots, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root")))

@@ -78,3 +78,38 @@ def test_segments_meet_under_deletion_variants(spark):
     for shift in (near_copies.HALF, 0):
         assert all(met([bit], shift) for bit in range(segment)) and met([], shift)
         assert not met([2, 3], shift) and not met([9, 10], shift)
+
+
+def test_pairs_of_blocks_hand_on_few_links_and_are_many_tasks(spark, monkeypatch):
+    """The links of a family's pairs of blocks are in proportion to its nodes, not to the pairs; the pairs aren't all one task's."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    long = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(changed(rng, long, rng.randrange(1, 5))) for _ in range(90)]
+    handed = []
+
+    def counted(links, components=near_copies.components):
+        handed.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    monkeypatch.setattr(near_copies, "BLOCK_NODES", 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.component_id for r in near_copies.near_copies(df).orderBy("doc_id").collect()] == roots(texts)
+    assert 80 < handed[1] <= 3 * 89  # a forest of each of at most three tasks, where 276 pairs of blocks have one each
+
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        rows = spark.range(100).select(F.lit(7).cast("bigint").alias("family"), F.col("id").alias("node"))
+        dealt = near_copies._dealt_in_pairs(rows, "family", rows.groupBy("family").agg(F.lit(10).alias("blocks")))
+        pairs = dealt.groupBy("family", "i", "j").applyInArrow(lambda key, group: pa.table({"n": [group.num_rows]}), "n bigint")
+        assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+        assert pairs.agg(F.count("*"), F.sum("n")).first() == (55, 1000)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
